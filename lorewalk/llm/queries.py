@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewalk.llm import bpe
+from lorewalk.llm import bpe, chat, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,60 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_documents(docs, VOCABULARY, ids=None, ids_text="ids_text", decoded="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return planned.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("copies")).alias("taken"))
+
+
+ORACLES["op4_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM totals),
+weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((rnk - 1) % 3 + 1 AS INT)] AS weight, source_size * 3 AS cap FROM ranked),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - CAST(coalesce(sum(cap) OVER before, 0) AS BIGINT))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM levels),
+placed AS (
+  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS off
+  FROM sized)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - off))
+     + greatest(0, least(size, CAST(round(target) AS BIGINT) - off - source_size))
+     + greatest(0, least(size, CAST(round(target) AS BIGINT) - off - 2 * source_size)) AS BIGINT) AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat"] = r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+grouped AS (
+  SELECT conv_id, list(md5(role || '|' || text) ORDER BY turn NULLS LAST, role, text) AS said,
+         string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS rendered
+  FROM turns GROUP BY conv_id),
+begun AS (SELECT DISTINCT said[1:n] AS said FROM (SELECT said, unnest(range(1, len(said))) AS n FROM grouped)),
+whole AS (SELECT said, min(conv_id) AS conv_id, count(*) AS copies FROM grouped GROUP BY said)
+SELECT w.conv_id, CAST(len(w.said) AS BIGINT) AS n_turns, w.copies, g.rendered
+FROM whole w JOIN grouped g ON g.conv_id = w.conv_id
+WHERE w.said NOT IN (SELECT said FROM begun)
+"""
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
