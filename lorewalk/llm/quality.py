@@ -23,8 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +58,14 @@ def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys, and for each place in it whether the same key stands before it."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    return order, np.r_[np.zeros(min(len(s), 1), bool), s[1:] == s[:-1]]
+def _again(keys: np.ndarray) -> np.ndarray:
+    """For each key whether it occurs more than once."""
+    s = np.sort(keys)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+    return twice[at] == keys
 
 
 def rule_counts(words: blocks.Words) -> dict[str, np.ndarray]:
@@ -79,8 +82,8 @@ def rule_counts(words: blocks.Words) -> dict[str, np.ndarray]:
     solid = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends = starts[solid], ends[solid]
     owner = np.searchsorted(words.offsets, starts, "right") - 1
-    order, again = _repeats(blocks.mix(blocks.spans_hash(data, starts, ends) ^ blocks.mix(owner.astype(np.uint64), 5)))
-    out["n_dup_lines"] = np.bincount(owner[order[again]], minlength=n)
+    lines, example = np.unique(blocks.mix(blocks.spans_hash(data, starts, ends) ^ blocks.mix(owner.astype(np.uint64), 5)), return_index=True)
+    out["n_dup_lines"] = np.bincount(owner, minlength=n) - np.bincount(owner[example], minlength=n)
 
     size = 5
     windows, first = words.shingles(size)
@@ -89,9 +92,7 @@ def rule_counts(words: blocks.Words) -> dict[str, np.ndarray]:
     whole = np.repeat(number >= size, held)
     place = np.arange(len(windows)) + np.repeat(words.first[:-1] - first[:-1], held)
     windows, owner, place = windows[whole], owner[whole], place[whole]
-    order, again = _repeats(blocks.mix(windows ^ blocks.mix(owner.astype(np.uint64), 7)))
-    twice = again | np.r_[again[1:], np.zeros(min(len(again), 1), bool)]
-    at = place[order[twice]]
+    at = place[_again(windows ^ blocks.mix(owner.astype(np.uint64), 7))]
     step = np.bincount(at, minlength=len(words) + size + 1) - np.bincount(at + size, minlength=len(words) + size + 1)
     out["n_repeat_words"] = _per_text((np.cumsum(step) > 0)[: len(words)].astype(np.int64), words.first)
     return out
@@ -117,7 +118,10 @@ def _grams(words: blocks.Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     A key is the language's code, then ORDER bytes, the last of them the event.
     """
     language = np.repeat(codes, np.diff(words.first))
-    _, example, pair, counts = np.unique(words.hash ^ blocks.mix(language, 3), return_index=True, return_inverse=True, return_counts=True)
+    pair, distinct = pd.factorize(words.hash ^ blocks.mix(language, 3))
+    counts = np.bincount(pair, minlength=len(distinct))
+    example = np.empty(len(distinct), np.int64)
+    example[pair] = np.arange(len(pair))
     starts, lengths = words.starts[example], words.ends[example] - words.starts[example]
     events = lengths + 1
     first = np.concatenate([[0], np.cumsum(events)])
@@ -147,7 +151,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words):
                 continue
             keys, first, _, counts = _grams(words, language_codes(part.column("lang")))
-            keys, where = np.unique(keys, return_inverse=True)
+            where, keys = pd.factorize(keys)
             held_keys.append(keys)
             held_counts.append(np.bincount(where, np.repeat(counts, np.diff(first)), len(keys)).astype(np.int64))
             held += len(keys)
@@ -283,7 +287,7 @@ def measure(docs: DataFrame, model: Broadcast, *, keep_text: bool = True) -> Dat
                 counts = rule_counts(words)
                 if len(words):
                     keys, first, pair, _ = _grams(words, language_codes(part.column("lang")))
-                    some, where = np.unique(keys, return_inverse=True)
+                    where, some = pd.factorize(keys)
                     costs = -model.value.log_probability(some)[where]
                     of_pair, events = np.add.reduceat(costs, first[:-1]), np.diff(first)
                     number = _per_text(events[pair], words.first)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewalk.llm import bpe, chat, mixing, secrets
+from lorewalk.llm import bpe, chat, mixing, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,35 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
+ORACLES["op7_neardup"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM worded)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * i >= 80 * (p.n + q.n - i)),
+both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(v, label) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT b.v, r.label FROM reach r JOIN both b ON b.u = r.v WHERE r.label < b.v),
+lowest AS (SELECT v, min(label) AS label FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, d.doc_id = label AS kept
+FROM documents d JOIN lowest ON v = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "log_perplexity")
