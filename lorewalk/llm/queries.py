@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewalk.llm import bpe, chat, mixing, neardup, quality, secrets
+from lorewalk.llm import ann, bpe, chat, mixing, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,8 @@ FROM documents d JOIN lowest ON v = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.d
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "log_perplexity")
+
+
+@query
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
