@@ -104,11 +104,11 @@ sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
 common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
   SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * i >= 80 * (p.n + q.n - i)),
-both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach(v, label) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
-  SELECT b.v, r.label FROM reach r JOIN both b ON b.u = r.v WHERE r.label < b.v),
+  SELECT b.v, r.label FROM reach r JOIN edges b ON b.u = r.v WHERE r.label < b.v),
 lowest AS (SELECT v, min(label) AS label FROM reach GROUP BY v)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, d.doc_id = label AS kept
 FROM documents d JOIN lowest ON v = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
