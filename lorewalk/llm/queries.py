@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewalk.llm import ann, bpe, chat, mixing, neardup, quality, secrets
+from lorewalk.llm import ann, bpe, chat, langid, mixing, neardup, quality, scoring, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
+@query
+def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), scoring.is_held_out(F.col("doc_id")))
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", scoring.is_held_out(F.col("doc_id"), 4))
+    network = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), network)
