@@ -155,8 +155,8 @@ def nearest(table: DataFrame, *, k: int = 20, is_query: Column | None = None, ve
     keyed = rows.where(F.size(x) == shapes[0]["size"]).withColumns({"a": F.xxhash64(F.lit(1), x), "b": F.xxhash64(F.lit(2), x)})
 
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(32))
-    some = keyed.withColumn("nth", F.row_number().over(W.partitionBy("a", "b", salt).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    some = some.withColumn("nth", F.row_number().over(W.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    some = keyed.withColumn("nth", F.dense_rank().over(W.partitionBy("a", "b", salt).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    some = some.withColumn("nth", F.dense_rank().over(W.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     classes = cut(some.groupBy("a", "b").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding")).withColumn("v", F.col("ids")[0]))
     asking = cut((keyed.where(is_query) if is_query is not None else keyed).select("vec_id", "a", "b").distinct())
     n, n_asking = classes.count(), asking.select("a", "b").distinct().count()
@@ -179,6 +179,7 @@ def nearest(table: DataFrame, *, k: int = 20, is_query: Column | None = None, ve
         sizes[r["tree"]][r["leaf"]] = r["c"]
     sizes_held = spark.sparkContext.broadcast(sizes)
     parts = max(1, -(-n_asking // BLOCK))
+    enough = max(share * n, TREES * (k + 2))  # so many entries are k + 1 classes at least, if there are that many
     schema = f"tree int, leaf int, block int, part int, asks boolean, v long, embedding {classes.schema['embedding'].dataType.simpleString()}"
 
     def rows_of(batch: pa.RecordBatch, take: np.ndarray, tree, leaf, block, part, asks: bool) -> pa.RecordBatch:
@@ -203,9 +204,9 @@ def nearest(table: DataFrame, *, k: int = 20, is_query: Column | None = None, ve
                 continue
             m = _matrix(batch.column("embedding"))
             found = []
-            for k_, q in enumerate(m):
-                for t, number in held.value.search(np.append(q, 0.0), sizes_held.value, share * n):
-                    found += [(k_, t, number, b) for b in range(max(1, -(-int(sizes_held.value[t][number]) // BLOCK)))]
+            for row, q in enumerate(m):
+                for t, number in held.value.search(np.append(q, 0.0), sizes_held.value, enough):
+                    found += [(row, t, number, b) for b in range(max(1, -(-int(sizes_held.value[t][number]) // BLOCK)))]
             take, tree, leaf, block = np.array(found, np.int64).T
             for s in range(0, len(take), 50_000):
                 z = slice(s, s + 50_000)

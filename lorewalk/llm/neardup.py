@@ -30,8 +30,8 @@ odds below 1e-5.
 
 Defined results: null and wordless texts have no shingles, are linked with
 nothing and are kept; a text with fewer words than a shingle has one shingle of
-all of them; documents with one id count as one document (the class of the
-smallest hash); a null id is no document for linking: its row is kept and its
+all of them; documents with one id count as one document (with the
+smallest of its sets, as bytes); a null id is no document for linking: its row is kept and its
 component is null; an empty table gives an empty result.
 """
 
@@ -43,10 +43,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewalk.llm import blocks
-from lorewalk.llm.shared import cut
+from lorewalk.llm.shared import checked, cut
 
 CIRCLE_BITS = 20
 BANDS, ROWS = 40, 6
@@ -136,7 +137,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 whole = sets.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([whole[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
-    return chosen.mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return chosen.mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +278,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but for near duplicates: of each component the document with its smallest id stays, of repeated rows with that id one."""
-    judged = near_duplicates(docs, size=size, percent=percent)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """The rows of docs but for near duplicates: of each component the document with its smallest id stays, of several rows with that id one."""
+    judged = cut(near_duplicates(docs, size=size, percent=percent).select("doc_id", "kept"))
+    gone = cut(judged.where("not kept").select("doc_id").distinct())
+    several = cut(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    out = docs.join(checked(gone), "doc_id", "left_anti")
+    if several.isEmpty():
+        return out.select(*[f"`{c}`" for c in docs.columns])
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))
+    one = out.join(checked(several), "doc_id", "left_semi").withColumn("nth__", nth).where("nth__ = 1").drop("nth__")
+    return out.join(checked(several), "doc_id", "left_anti").unionByName(one).select(*[f"`{c}`" for c in docs.columns])

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids that are broadcast at most (16 MB as numbers); more are joined by shuffling.
+MOST_IDS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """A table of one column of ids, marked for broadcast if it has MOST_IDS rows at most; it is counted, so it should be cheap to read."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
