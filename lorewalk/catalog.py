@@ -146,9 +146,9 @@ def symbols_flat(spark, sf_dir):
     return facts.methods(spark, sf_dir).select("sym_id", "parent", "name", "kind", "depth")
 
 
-@query(f"WITH {METHODS} SELECT sym_id, idx AS overload_idx, name_path FROM methods")
+@query(f"WITH {METHODS} SELECT sym_id, coalesce(idx, -1) AS overload_idx, name_path FROM methods")
 def symbols_overload_idx(spark, sf_dir):
-    return _methods(spark, sf_dir).select("sym_id", "overload_idx", "name_path")
+    return _methods(spark, sf_dir).select("sym_id", F.coalesce("overload_idx", F.lit(-1)).alias("overload_idx"), "name_path")
 
 
 @query(f"WITH {PLACES} SELECT CAST(sym_id AS BIGINT) AS sym_id, kind, depth, name_path FROM places")
@@ -471,9 +471,9 @@ def retry_schedule(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations)
-SELECT conv_id, turn AS asked, CASE WHEN next_role = 'assistant' THEN next_turn END AS answered FROM c WHERE role = 'user'""")
+SELECT conv_id, turn AS asked, CASE WHEN next_role = 'assistant' THEN next_turn ELSE -1 END AS answered FROM c WHERE role = 'user'""")
 def rpc_pairing(spark, sf_dir):
-    return folds.paired(facts.table(spark, sf_dir, "conversations"))
+    return folds.paired(facts.table(spark, sf_dir, "conversations")).withColumn("answered", F.coalesce("answered", F.lit(-1).cast("bigint")))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations)
