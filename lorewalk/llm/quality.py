@@ -37,7 +37,7 @@ ORDER = 4
 #: Bits of an n-gram's place in the sorted hash arrays.
 HASH_BITS = 22
 #: Bytes of text whose words are made distinct together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: A worker sends on its counts when it holds so many n-grams.
 HELD = 1 << 20
 #: Half a band's width in distances from the median to the outer quantiles, and at least this much in log perplexity.
@@ -273,12 +273,12 @@ def train(docs: DataFrame) -> Broadcast:
     return spark.sparkContext.broadcast(Model({k: part(k) for k in range(1, ORDER + 1)}, {k: part(-k) for k in range(1, ORDER + 1)}))
 
 
-def measure(docs: DataFrame, model: Broadcast, *, keep_text: bool = True) -> DataFrame:
-    """Every row with the plain counts and log_perplexity (null without words); input columns of those names are replaced."""
-    new = [*COUNTS, "log_perplexity"]
+def measure(docs: DataFrame, model: Broadcast, *, keep_text: bool = True, prefix: str = "") -> DataFrame:
+    """Every row with the plain counts and log_perplexity (null without words), named with a prefix; input columns of those names are replaced."""
+    new = [prefix + c for c in (*COUNTS, "log_perplexity")]
     kept = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, "text", "lang"])])
-    schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("log_perplexity", T.DoubleType())])
+    schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(c, T.LongType()) for c in new[:-1]] + [T.StructField(new[-1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,22 +300,29 @@ def measure(docs: DataFrame, model: Broadcast, *, keep_text: bool = True) -> Dat
     return source.mapInArrow(run, schema)
 
 
-def base_failed():
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+def base_failed(prefix: str = ""):
+    n = F.col(f"{prefix}n_words")
+    return (n < LEAST_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MOST_REPEATED * n)
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """lang, low and high log perplexity; a row for each language."""
+    """band_lang, low and high log perplexity; a row for each language."""
     passed = measured.where(~base_failed()).groupBy("lang").agg(F.percentile_approx("log_perplexity", F.array(*map(F.lit, QUANTILES)), F.lit(10000)).alias("q"))
     q = [F.col("q")[k] for k in range(3)]
     return passed.select(F.col("lang").alias("band_lang"), (q[1] - F.greatest(WIDTH * (q[1] - q[0]), F.lit(LEAST_WIDTH))).alias("low"), (q[1] + F.greatest(WIDTH * (q[2] - q[1]), F.lit(LEAST_WIDTH))).alias("high"))
 
 
+def inside(measured: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
+    """measured with the column inside__: whether the log perplexity is in its language's band."""
+    limits = limits.select(*[F.col(c).alias(f"{c}__") for c in limits.columns])
+    both = measured.join(limits, measured["lang"].eqNullSafe(limits["band_lang__"]), "left")
+    return both.withColumn("inside__", F.coalesce(F.col(f"{prefix}log_perplexity").between(F.col("low__"), F.col("high__")), F.lit(False))).drop(*limits.columns)
+
+
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured with base_failed and kept; a language without a document that passes the plain rules has no band and needs none."""
-    both = measured.join(limits, measured["lang"].eqNullSafe(limits["band_lang"]), "left").withColumn("base_failed", base_failed())
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return both.withColumn("kept", ~F.col("base_failed") & inside).drop("band_lang", "low", "high")
+    both = inside(measured, limits).withColumn("base_failed", base_failed())
+    return both.withColumn("kept", ~F.col("base_failed") & F.col("inside__")).drop("inside__")
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -329,5 +336,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' columns. Texts are read and measured again rather than carried through a table."""
     model = train(docs)
     limits = cut(bands(measure(docs.select("lang", "text"), model, keep_text=False)))
-    row = docs.select(F.col("lang"), F.col("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    return judge(measure(row, model), limits).where("kept").select("row.*")
+    measured = inside(measure(docs, model, prefix="q__"), limits, "q__")
+    return measured.where(~base_failed("q__") & F.col("inside__")).select(*[f"`{c}`" for c in docs.columns])
