@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ from lorewalk.llm import blocks
 from lorewalk.llm.shared import cut
 
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 MEMBERS, CLASSES = 32, 32
 WORDS = MEMBERS * CLASSES
 #: Bits of a row's number, for classes and for members.
@@ -139,29 +140,38 @@ class Model:
         return np.where(self.words[at] == words, self.rank[at], -1)
 
 
-class _Context:
-    """Feature rows and targets of a block's tokens."""
-
-    def __init__(self, model: Model, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
-        starts = np.cumsum(sizes) - sizes
-        nth = np.arange(len(tokens)) - np.repeat(starts, sizes)
-        flat = words[tokens]
-        back = []
-        for k in (1, 2):
-            h = np.full(len(tokens), BEFORE)
-            h[k:] = np.where(nth[k:] >= k, flat[:-k] if len(flat) > k else flat[:0], BEFORE)
-            back.append(h)
-        one, two = back
-        bits = np.uint64(64 - CLASS_BITS)
+class _Slice(NamedTuple):
+    """Some tokens: their places, rows and target of the class softmax, and of those with a place in a class the rows and target of the other."""
+
+    first: int
+    last: int
+    class_rows: list[np.ndarray]
+    target: np.ndarray
+    known: np.ndarray
+    member_rows: list[np.ndarray]
+    member: np.ndarray
+
+
+def _slices(model: Model, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[_Slice]:
+    """A block's tokens in slices, so that features never exist for a whole block at once."""
+    number = model.numbers(words)
+    starts = np.cumsum(sizes) - sizes
+    class_bits, member_bits = np.uint64(64 - CLASS_BITS), np.uint64(64 - MEMBER_BITS)
+    for s in range(0, len(tokens), step):
+        e = min(s + step, len(tokens))
+        begin = max(0, s - 2)
+        held = words[tokens[begin:e]]
+        at = np.arange(s, e)
+        nth = at - starts[np.searchsorted(starts, at, "right") - 1]
+        one, two = (np.where(nth >= k, held[np.maximum(at - k - begin, 0)], BEFORE) for k in (1, 2))
         features = (blocks.mix(one, 1), blocks.mix(blocks.mix(one, 2) ^ two, 3), blocks.mix(two, 4))
-        self.class_rows = [((f >> bits).astype(np.int64) + (k << CLASS_BITS)) for k, f in enumerate(features)]
-        number = model.numbers(words)[tokens]
-        self.known = number >= 0
-        self.target = np.where(self.known, number // MEMBERS, model.classes - 1)
-        self.member = np.where(self.known, number % MEMBERS, 0)
-        of_class = blocks.mix(self.target.astype(np.uint64), 6)
-        bits = np.uint64(64 - MEMBER_BITS)
-        self.member_rows = [((blocks.mix(f ^ of_class, 7 + k) >> bits).astype(np.int64) + (k << MEMBER_BITS)) for k, f in enumerate((one,))]
+        class_rows = [(f >> class_bits).astype(np.int64) + (k << CLASS_BITS) for k, f in enumerate(features)]
+        n = number[tokens[s:e]]
+        target = np.where(n >= 0, n // MEMBERS, model.classes - 1)
+        known = np.flatnonzero(n >= 0)
+        of_class = blocks.mix(target[known].astype(np.uint64), 6)
+        member_rows = [(blocks.mix(f[known] ^ of_class, 7 + k) >> member_bits).astype(np.int64) + (k << MEMBER_BITS) for k, f in enumerate((one,))]
+        yield _Slice(s, e, class_rows, target, known, member_rows, n[known] % MEMBERS)
 
 
 def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -179,19 +189,16 @@ def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.
 
 def log_probability(model: Model, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """log10 of each token's probability; totals: training counts of the block's words."""
-    c = _Context(model, words, tokens, sizes)
     out = np.empty(len(tokens))
     n, v = model.tail
-    for s in range(0, len(tokens), 8192):
-        z = slice(s, s + 8192)
-        p = _softmax(model.class_bias, model.class_rows, [r[z] for r in c.class_rows])
-        out[z] = np.log10(np.maximum(p[np.arange(len(p)), c.target[z]].astype(np.float64), 1e-30))
-        known = np.flatnonzero(c.known[z]) + s
-        if len(known):
-            p = _softmax(model.member_bias[c.target[known]], model.member_rows, [r[known] for r in c.member_rows])
-            out[known] += np.log10(np.maximum(p[np.arange(len(p)), c.member[known]].astype(np.float64), 1e-30))
-    others = ~c.known
-    out[others] += np.log10((totals[tokens[others]] + 1.0) / (n + v + 1.0))
+    for x in _slices(model, words, tokens, sizes, STEP):
+        p = _softmax(model.class_bias, model.class_rows, x.class_rows)
+        of = p[np.arange(len(p)), x.target].astype(np.float64)
+        inner = (totals[tokens[x.first : x.last]] + 1.0) / (n + v + 1.0)
+        if len(x.known):
+            p = _softmax(model.member_bias[x.target[x.known]], model.member_rows, x.member_rows)
+            inner[x.known] = p[np.arange(len(p)), x.member]
+        out[x.first : x.last] = np.log10(np.maximum(of, 1e-30)) + np.log10(np.maximum(inner, 1e-30))
     return out
 
 
@@ -219,13 +226,11 @@ class _Trainer:
             self.touched[which][at] += times
 
     def learn(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> None:
-        m, c = self.model, _Context(self.model, words, tokens, sizes)
-        for s in range(0, len(tokens), STEP):
-            z = slice(s, s + STEP)
-            self._step(0, m.class_bias, [r[z] for r in c.class_rows], c.target[z])
-            known = np.flatnonzero(c.known[z]) + s
-            if len(known):
-                self._step(1, m.member_bias[c.target[known]], [r[known] for r in c.member_rows], c.member[known])
+        m = self.model
+        for x in _slices(m, words, tokens, sizes, STEP):
+            self._step(0, m.class_bias, x.class_rows, x.target)
+            if len(x.known):
+                self._step(1, m.member_bias[x.target[x.known]], x.member_rows, x.member)
 
 
 #: Table rows that travel together.
@@ -305,7 +310,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         outs = []
         total = np.zeros(max(right.num_rows, 1), np.int64)
         total[right.column("nth").to_numpy()] = right.column("total").to_numpy()
-        for r in left.to_pylist():
+        for r in left.select(["doc_id", "held_out", "n_tokens", "tokens", "words"]).to_pylist():
             sizes, tokens = np.array(r["n_tokens"], np.int64), np.frombuffer(r["tokens"], np.uint32)
             starts = np.cumsum(sizes) - sizes
             base = np.log10((total + 1.0) / (n + v + 1.0))
