@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lorewalk.llm import blocks
+from lorewalk.llm.shared import small_batches
 
 #: White space by Unicode's White_Space property.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters where str.split() and White_Space differ.
 _ODD = regex.compile(r"[\x1c-\x1f]")
 #: Words that a worker remembers before it starts again.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Words whose symbols are merged together.
 TOGETHER = 20_000
 
@@ -224,6 +225,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", id
     Null text: as empty.  Input columns of the same names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary))
     new = [(ids, T.ArrayType(T.IntegerType(), False)), (n_tokens, T.LongType()), (ids_text, T.StringType()), (decoded, T.StringType())]
     new = [(n, t) for n, t in new if n]

@@ -37,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
 def checked(ids: DataFrame) -> DataFrame:
     """A table of one column of ids, marked for broadcast if it has MOST_IDS rows at most; it is counted, so it should be cheap to read."""
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
+#: Rows that go to a Python worker together. Documents have kilobytes, so Spark's own 10,000 would be tens of megabytes, held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch, if the session has Spark's own number; it changes speed and memory, never results."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
