@@ -548,6 +548,29 @@ def test_passages_found_and_clean_documents_left(spark):
             assert (r.first_word, r.end_word, r.match_doc_id, r.similarity) == (0, 300, 50, 1.0)
 
 
+def test_passages_with_one_longer_edit_or_side_by_side():
+    rng = np.random.default_rng(16)
+    numbers = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    shingles = lambda w: blocks.mix(np.lib.stride_tricks.sliding_window_view(w.astype(np.uint64), 5).sum(1)).astype(np.uint32)
+
+    def matched(a, b):
+        x, y = shingles(a), shingles(b)
+        return passages.shared_passages(x, y, np.ones(len(x), bool))
+
+    plain = numbers(90)
+    inserted = np.r_[plain[:45], numbers(8), plain[45:]]
+    deleted = np.r_[plain[:41], plain[49:]]
+    for other, common in ((inserted, 82 / 98), (deleted, 74 / 90)):
+        for a, b in ((plain, other), (other, plain)):
+            one, two = np.r_[numbers(150), a, numbers(150)], np.r_[numbers(70), b, numbers(90)]
+            assert [(x[0], x[1] + 5, x[2], x[3] + 5) for x in matched(one, two)] == [(150, 150 + len(a), 70, 70 + len(b))]
+            assert matched(one, two)[0][4] == pytest.approx(common)
+    first, second = numbers(70), numbers(70)
+    one, two = np.r_[numbers(50), first, second, numbers(50)], np.r_[second, numbers(200), first]
+    assert {(x[0], x[1] + 5, x[2], x[3] + 5) for x in matched(one, two)} == {(50, 120, 270, 340), (120, 190, 0, 70)}
+    assert matched(numbers(300), numbers(300)) == []
+
+
 def test_passages_odd_rows(odd, empty):
     found = passages.repeated_passages(odd).collect()
     assert {r.doc_id for r in found} == {8, 9}
