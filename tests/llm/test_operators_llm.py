@@ -571,6 +571,22 @@ def test_passages_with_one_longer_edit_or_side_by_side():
     assert matched(numbers(300), numbers(300)) == []
 
 
+def test_passages_that_the_first_document_has_in_part(spark):
+    rng = np.random.default_rng(26)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    rows, want = {}, {}
+    for i in range(0, 60, 3):
+        common = text(60)
+        for k, part in enumerate((common[: 40 + i % 10], common, common)):
+            body = text(200)
+            rows[i + k] = [*body[:90], *part, *body[90:]]
+        want[i + 2] = i + 1
+    data = [(i, " ".join(w)) for i, w in rows.items()]
+    found = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.match_doc_id) for r in found if (r.first_word, r.end_word, r.similarity) == (90, 150, 1.0)}
+    assert got == {*want.items(), *((b, a) for a, b in want.items())}
+
+
 def test_passages_odd_rows(odd, empty):
     found = passages.repeated_passages(odd).collect()
     assert {r.doc_id for r in found} == {8, 9}
