@@ -36,8 +36,19 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----((?:[A-Za-z0-9+/=\s]|\\[nrt])*)-----END \1-----")
+_ESCAPED = re.compile(r"\\[nrt]")
+#: Chains of dotted parts; a token begins at a head inside one of the parts.
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+_JWT_HEADS = ("eyJ", "ewo", "eyA", "ew0")
+_JWT_HEAD = re.compile("|".join(_JWT_HEADS))
+#: How keys begin in base64 and hex, and what stands between the lines of a wrapped one.
+_DER_HEAD = re.compile(rb"M[A-P]")
+_HEX_HEAD = re.compile(rb"30(?:8[1-4]|[1-7][0-9A-Fa-f])")
+_SSH_HEAD = re.compile(rb"AAAA[A-Z]|b3BlbnNzaC1rZXktdjEA")
+_LETTERS = re.compile(rb"[A-Za-z0-9+/_-]*")
+_HEX_LETTERS = re.compile(rb"[A-Fa-f0-9]*")
+_WRAP = re.compile(rb"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
 
 #: Lower-case words without which _ASSIGN has no match.
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -166,6 +177,63 @@ def _decoded_kind(data: bytes | None) -> str | None:
     return "der" if is_der(data) else "ssh" if is_ssh(data) else None
 
 
+def _lines(whole: bytes, at: int, stop: int, letters: re.Pattern, most: int | None) -> Iterator[tuple[bytes, int]]:
+    """The letters from a place on, and where they end: line after line, so many letters at most."""
+    got = b""
+    while at < stop:
+        end = letters.match(whole, at, stop).end()
+        if most is not None and end - at > most - len(got):
+            end = at + most - len(got)
+        if end == at:
+            return
+        got += whole[at:end]
+        yield got, end
+        gap = _WRAP.match(whole, end, stop)
+        if gap is None or len(got) == most:
+            return
+        at = gap.end()
+
+
+def _length(head: bytes) -> int | None:
+    """Bytes of the ASN.1 sequence that begins so, if it can be a key."""
+    if len(head) < 16 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _inside(whole: bytes, a: int, b: int, stop: int) -> Iterator[tuple[str, int, int]]:
+    """Keys that begin inside a run and end there, or lines after it."""
+    heads = {m.start(): (kind, m.start()) for kind, head in (("hex", _HEX_HEAD), ("der", _DER_HEAD), ("ssh", _SSH_HEAD)) for m in head.finditer(whole, a, b)}
+    done = a
+    for at in sorted(heads):
+        if at < done:
+            continue
+        kind = heads[at][0]
+        if kind == "ssh":
+            for got, end in _lines(whole, at, stop, _LETTERS, None):
+                if is_ssh(unbase64(got) or b""):
+                    done, pad = end, -len(got) % 4
+        else:
+            letters, per, decode = (_HEX_LETTERS, 2, binascii.unhexlify) if kind == "hex" else (_LETTERS, 4 / 3, unbase64)
+            first = b""
+            for first, _ in _lines(whole, at, stop, letters, 32):
+                pass
+            size = _length(decode(first) or b"") if len(first) == 32 else None
+            if size is None or size * per > stop - at:
+                continue
+            want = 2 * size if kind == "hex" else -(-4 * size // 3)
+            for got, end in _lines(whole, at, stop, letters, want):
+                if len(got) == want and is_der(decode(got) or b""):
+                    done, pad = end, 0 if kind == "hex" else -len(got) % 4
+        if done > at:
+            while pad and done < stop and whole[done] == 0x3D:
+                done, pad = done + 1, pad - 1
+            yield "ssh" if kind == "ssh" else "der", at, done
+
+
 def find(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
     """The spans of each text."""
     data, offsets = blocks.buffers(texts)
@@ -194,9 +262,17 @@ def find(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
     for k in owners((b"AKIA",), whole):
         found[k] += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text(k)) if m.end() - m.start() >= 16]
     for k in owners((b"-----BEGIN ",), whole):
-        found[k] += [("pem", m.start(), m.end()) for m in _PEM.finditer(text(k)) if _decoded_kind(unbase64(m[2]))]
-    for k in owners((b"eyJ", b"ewo", b"eyA"), whole):  # how a JSON object begins
-        found[k] += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text(k)) if is_jwt(m[0])]
+        found[k] += [("pem", m.start(), m.end()) for m in _PEM.finditer(text(k)) if _decoded_kind(unbase64(_ESCAPED.sub("", m[2])))]
+    for k in owners(tuple(h.encode() for h in _JWT_HEADS), whole):  # how a JSON object begins
+        for chain in _DOTTED.finditer(text(k)):
+            at, parts = chain.start(), chain[0].split(".")
+            for i in range(len(parts) - 2):
+                for m in _JWT_HEAD.finditer(parts[i]):
+                    token = ".".join((parts[i][m.start() :], parts[i + 1], parts[i + 2]))
+                    if is_jwt(token):
+                        found[k].append(("jwt", at + m.start(), at + m.start() + len(token)))
+                        break
+                at += len(parts[i]) + 1
 
     places: list[tuple[str, int, int]] = []
     places += [("hex", a, b) for a, b in zip(*(x.tolist() for x in _runs(_HEX[data], offsets, 32)), strict=True)]
@@ -211,12 +287,21 @@ def find(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
             while b < len(whole) and b - a < (len(run) + 3) // 4 * 4 and whole[b] == 0x3D and b not in offsets:
                 b += 1
             places.append((kind, a, b))
+        else:
+            places += _inside(whole, a, b, int(offsets[np.searchsorted(offsets, a, "right")]))
     if places:
         points = blocks.code_points(data)
         for kind, a, b in places:
             k = int(np.searchsorted(offsets, a, "right")) - 1
             found[k].append((kind, int(points[a] - points[offsets[k]]), int(points[b] - points[offsets[k]])))
     for x in found:
+        armour = [(a, b) for kind, a, b in x if kind == "pem"]
+        keys: list[tuple[int, int]] = []  # a wrapped key's later lines, and what stands in armour, are reported once
+        for kind, a, b in sorted([s for s in x if s[0] in ("der", "ssh")], key=lambda s: (s[1], -s[2])):
+            if any(p <= a and b <= q for p, q in armour) or (keys and b <= keys[-1][1]):
+                x.remove((kind, a, b))
+            else:
+                keys.append((a, b))
         x.sort(key=lambda s: (s[1], _ORDER[s[0]], s[2]))
     return found
 

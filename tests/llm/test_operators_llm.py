@@ -284,6 +284,26 @@ def test_secrets_confirmed_by_structure():
         assert [s for s in x if s[0] in secrets.BASE] == brute_base(t)
 
 
+def test_secrets_that_begin_inside_runs_or_wrap():
+    coded, ssh = base64.b64encode(RSA).decode(), base64.b64encode(SSH).decode()
+    lines = [coded[k : k + 64] for k in range(0, len(coded), 64)]
+    pem = "\\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    cases = [
+        ('{"private_key": "', pem, '\\n"}', "pem"),
+        ("é ", "\n".join(lines), "\nend", "der"),
+        ("x ", "\\n".join(lines), " y", "der"),
+        ("key_", coded, " end", "der"),
+        ("path/", coded, "", "der"),
+        ("key_", RSA.hex().upper(), " end", "der"),
+        ("id_", ssh, " me", "ssh"),
+        ("access_token.", JWT, " ok", "jwt"),
+        ("key_", JWT, "", "jwt"),
+    ]
+    found = secrets.find(pa.array([a + b + c for a, b, c, _ in cases]))
+    for (before, key, _, kind), spans in zip(cases, found, strict=True):
+        assert [s for s in spans if s[0] not in secrets.BASE] == [(kind, len(before), len(before) + len(key))], (before, kind)
+
+
 def test_redaction(spark):
     rows = [(1, "a password=abcdefgh9 b " + "0123456789abcdef" * 2), (2, "clean"), (3, None), (4, "")]
     df = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
