@@ -8,8 +8,10 @@ documents are independent, nothing is shuffled, and each Python worker keeps a
 bounded memory of the words it has met.
 
 Defined results: a null text counts as empty, an empty text has no tokens, and
-a text of any length is encoded whole.  Input columns stay; of equal names the
-new column stands.
+a text of any length is encoded whole; repeated rows are rows of their own; an
+empty table gives an empty result.  Input columns stay; one that is named as a new
+column, whatever the case, gives way to it.  Files with another normalizer,
+splitter or decoder than described at `SETTINGS` are refused.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
 from itertools import batched, chain
 
 import numpy as np
@@ -26,12 +29,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lorewalk.llm import blocks
-from lorewalk.llm.shared import small_batches
+from lorewalk.llm.shared import without
 
 #: White space by Unicode's White_Space property.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters where str.split() and White_Space differ.
 _ODD = regex.compile(r"[\x1c-\x1f]")
+
+# The settings that are followed here, as tokenizer files write them.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "decoder": None,
+    "splitter": {"type": "Split", "behavior": "Removed", "invert": True},
+    "bytes": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False},
+    "added": {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False},
+}
 #: Words that a worker remembers before it starts again.
 REMEMBERED = 100_000
 #: Words whose symbols are merged together.
@@ -48,12 +61,64 @@ def _byte_letters() -> list[str]:
     return out
 
 
+# Letters and numbers of Unicode 16.0 beyond 15.1, and lower-case forms of 17.0 beyond 15.1 as (first, last, distance).
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LOWER_17 = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_LOWER = {c: c + d for a, b, d in LOWER_17 for c in range(a, b + 1)} | {ord("Σ"): ord("σ")}  # each letter on its own, without the rule of the final sigma
+_LOWERED = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
+
+@cache
+def _categories() -> dict[str, str]:
+    """Ranges of letters and of numbers, as the tokenizers library has them, and of what the regex module's tables take for other than those, for use in brackets.
+
+    The library's classes are those of Unicode 16.0; unicodedata's are those of 15.1.
+    """
+    classes = {}
+    for name, more in (("L", LETTERS_16), ("N", NUMBERS_16)):
+        has = np.fromiter((unicodedata.category(chr(c))[0] == name for c in range(0x110000)), bool, 0x110000)
+        for a, b in more:
+            has[a : b + 1] = True
+        classes[name] = has
+    every = "".join(map(chr, range(0x110000)))
+    other = np.zeros(0x110000, bool)
+    for name, has in classes.items():
+        theirs = np.zeros(0x110000, bool)
+        theirs[[m.start() for m in regex.finditer(rf"\p{{{name}}}", every)]] = True
+        other |= theirs != has
+    classes["other"] = other
+
+    def ranges(has: np.ndarray) -> str:
+        at = np.flatnonzero(has)
+        runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
+        return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+    return {name: ranges(has) for name, has in classes.items()}
+
+
+def _follows(found: dict | None, wanted: dict | None) -> bool:
+    return found == wanted or (isinstance(found, dict) and isinstance(wanted, dict) and all(found.get(k) == v for k, v in wanted.items()))
+
+
 class Vocabulary:
     """A BPE model read from the JSON of a public tokenizer file with lower-casing words and a word-end suffix."""
 
     def __init__(self, described: str):
         d = json.loads(described)
         model = d["model"]
+        steps = d["pre_tokenizer"].get("pretokenizers", [])
+        held = {"normalizer": d.get("normalizer"), "decoder": d.get("decoder"), "model": model} | dict(zip(("splitter", "bytes"), steps, strict=False))
+        wrong = [k for k in ("normalizer", "decoder", "splitter", "bytes", "model") if not _follows(held.get(k), SETTINGS[k])]
+        if wrong or len(steps) != 2 or any(not _follows(x, SETTINGS["added"]) for x in d["added_tokens"]):
+            raise ValueError(f"settings that are not followed here: {wrong or 'pre_tokenizer or added_tokens'}")
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         added = {x["content"]: x["id"] for x in d["added_tokens"]}
@@ -61,9 +126,12 @@ class Vocabulary:
         self.text = [""] * (max([*self.ids.values(), *added.values()]) + 1)
         for token, i in [*self.ids.items(), *added.items()]:
             self.text[i] = token
-        split = next(x for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # \s means White_Space there
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE}"))
+        pattern = steps[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE}")
+        classes = _categories()
+        self._pattern = regex.compile(pattern)
+        self._exact = regex.compile(pattern.replace(r"\p{L}", classes["L"]).replace(r"\p{N}", classes["N"]))
+        self._other = regex.compile(f"[{classes['other']}]") if classes["other"] else None
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         letters = _byte_letters()
         self.inner = np.array([self.ids[x] for x in letters])
@@ -82,6 +150,11 @@ class Vocabulary:
         np.minimum.at(least, right, np.arange(len(pairs)))
         self.plain = least[joined] > np.arange(len(pairs))
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text."""
+        other = self._other is not None and not text.isascii() and self._other.search(text)
+        return (self._exact if other else self._pattern).findall(text)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
         at = np.searchsorted(self.keys, key)
@@ -154,15 +227,16 @@ class Coder:
         self.decoded: dict[str, str] = {}
         self.lately: set[str] = set()
         self.numbers = [str(i) for i in range(len(vocabulary.text))]
-        self.find = vocabulary.pattern.findall
+        self.find = vocabulary.find
 
     def _normal(self, text: str) -> list[str]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # each letter on its own, without the rule of the final sigma
+            if _LOWERED.search(text):
+                text = text.translate(_LOWER)
         text = text.lower()
-        return self.v.pattern.findall(text) if _ODD.search(text) else text.split()
+        return self.v.find(text) if _ODD.search(text) else text.split()
 
     def split(self, text: str) -> list[str]:
         """Pieces that are encoded on their own; an added token is a piece of its own, marked by a space before it."""
@@ -210,6 +284,11 @@ class Coder:
             yield " ".join(map(self.ids.__getitem__, pieces)), pieces
 
 
+@lru_cache(2)
+def _vocabulary(described: str) -> Vocabulary:
+    return Vocabulary(described)
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> str:
     """The vocabulary file's text; it is read once, on the driver, and its size is that of the file."""
     with open(path, encoding="utf-8") as f:
@@ -225,16 +304,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", id
     Null text: as empty.  Input columns of the same names are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary))
     new = [(ids, T.ArrayType(T.IntegerType(), False)), (n_tokens, T.LongType()), (ids_text, T.StringType()), (decoded, T.StringType())]
     new = [(n, t) for n, t in new if n]
-    kept = [c for c in docs.columns if c not in {n for n, _ in new}]
+    kept = without(docs.columns, [n for n, _ in new])
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
     schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(n, t) for n, t in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(held.value))
+        coder = Coder(_vocabulary(held.value))
         for batch in batches:
             for part in blocks.pieces(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
@@ -265,11 +343,11 @@ def decode_documents(docs: DataFrame, vocabulary: str, *, ids: str = "ids", deco
     """Every row of docs with the text of its ids; null ids give null. An input column named as the new one is replaced."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(read_vocabulary(spark, vocabulary))
-    kept = [c for c in docs.columns if c != decoded]
+    kept = without(docs.columns, [decoded])
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept] + [T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(held.value)
+        v = _vocabulary(held.value)
         for batch in batches:
             texts = [None if x is None else v.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)

@@ -1,9 +1,10 @@
-"""Where intermediate tables go, and the session they belong to."""
+"""Where intermediate tables go, the session they belong to, and names that no input column has."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: Ids that are broadcast at most (16 MB as numbers); more are joined by shuffling.
 MOST_IDS = 2_000_000
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints; only a local session without one (a test) gets its own."""
@@ -31,7 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read back: lineage ends there, and a lost executor costs no rework before it."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _written.remove(p)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut has written and that nothing reads any more."""
+    _remove(tables[0].sparkSession, [t._cut for t in tables])
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes all tables that cut has written so far, and says how many; for when the results made from them are stored."""
+    paths = list(_written)
+    _remove(spark, paths)
+    return len(paths)
 
 
 def checked(ids: DataFrame) -> DataFrame:
@@ -39,12 +65,19 @@ def checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
-#: Rows that go to a Python worker together. Documents have kilobytes, so Spark's own 10,000 would be tens of megabytes, held several times over.
-BATCH_ROWS = 1000
+def without(columns: Iterable[str], names: Iterable[str | None]) -> list[str]:
+    """The columns that are none of the names, whatever the case."""
+    low = {n.lower() for n in names if n}
+    return [c for c in columns if c.lower() not in low]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch, if the session has Spark's own number; it changes speed and memory, never results."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores at its end until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
