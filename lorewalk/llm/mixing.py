@@ -3,26 +3,34 @@
 1. Sizes are counted once and each source's share follows from its weight, no
    source above `most` times its size.
 2. A source's documents, in a random order that its ids fix, form one stream of
-   words; passes follow one another until the source's quota is reached.  The
-   stream is cut into equal blocks.
-3. A multivariate-hypergeometric splitting tree deals every source's exact
-   quota of blocks out to the shards: a node's quotas are split between its two
+   words.  The stream is cut into blocks of whole documents (a document is in the
+   block that holds its middle word).
+3. In each pass over the stream the blocks have an order of their own, by a hash.  A
+   source's quota is its drawn blocks: those that begin before the quota's words are
+   reached; the last of them is cut.
+4. A multivariate-hypergeometric splitting tree deals every source's exact
+   number of drawn blocks out to the shards: a node's quotas are split between its two
    halves by drawing without replacement, source after source, from the root
    down.  Each draw is an exact inverse of the distribution function at a
    uniform number that the node fixes, so reruns agree.
-4. A shard's blocks of a source are the next ones of the permuted stream, so
-   shards draw disjoint blocks; rows are shuffled in their shard alone.
+5. A shard takes as many of a source's permuted blocks as the tree gave it, the next
+   ones; so shards draw disjoint blocks, and a copy of a document exists exactly
+   where a shard drew its block.  Rows are shuffled in their shard alone.
 
 The order inside a source needs running sums over all its documents.  They are
-taken in 4,096 slices of a source by the order's leading digits, then over the
-slices' sums, so that a source with a third of all rows is no single task.
+taken in slices of a source by the order's leading digits, more of them the more
+documents there are, then over the slices' sums, so that a source with a third of
+all rows is no single task.  Shards follow the words that are drawn, up to MOST_SHARDS;
+a shard is written in parts of about PART_WORDS.
 
-Tables of one row per source are small beside the documents and are joined as
-Spark's statistics say; no size is assumed.
+Tables of one row per source or block are small beside the documents and are joined as
+Spark's statistics say; no size is assumed.  A tree's node holds a number for each
+source.
 
 Defined results: null text has size 0; null source is a source of its own, the
 last; null ids order as the empty string; repeated rows are documents of their
-own; an empty table gives an empty result; documents of size 0 are never taken.
+own, ordered by size and a hash of the text; an empty table gives an empty result;
+documents of size 0 are never taken.  mix returns docs' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +45,12 @@ from lorewalk.llm.shared import cut
 WEIGHTS = (5, 2, 1)
 #: Words: runs of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Blocks in all, at most; a draw looks at a few thousand numbers then.
-MOST_BLOCKS = 1 << 18
-LEAST_BLOCK = 256
+#: Blocks of a source's stream, and the least words of a block.
+MOST_BLOCKS, LEAST_BLOCK = 1 << 10, 1 << 8
+#: Documents of a slice, about.
+SLICE = 1 << 14
+#: Words of a part of a shard, about; shards and parts at most.
+PART_WORDS, MOST_SHARDS, MOST_PARTS = 1 << 21, 1 << 10, 1 << 17
 
 
 def _targets(totals: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
@@ -102,15 +113,17 @@ def _draw(good: str, total: str, draws: str, uniform: str) -> str:
 
 
 def _deal(sources: DataFrame, shards: int, seed: str) -> DataFrame:
-    """sources has rank and blocks; returns shard, rank and the source's blocks before and up to that shard's end.
+    """sources has rank and blocks; returns shard, rank and how many of the source's blocks the shard draws.
 
-    The tree's nodes are rows; a level makes two of each, in place, without a shuffle.
+    The tree's nodes are rows; a level makes two of each, in place, without a shuffle but for one after five levels.
     """
     node = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("rank", "blocks"))).alias("all")).where(F.size("all") > 0)
     node = node.select(F.lit(0).cast("bigint").alias("shard"), F.transform("all", lambda x: x["rank"]).alias("ranks"), F.transform("all", lambda x: x["blocks"]).alias("quotas"))
     levels = (shards - 1).bit_length()
     uniform = f"((xxhash64('{seed}', @level, shard, i) & 4503599627370495L) + 0.5D) / 4503599627370496D"
     for level in range(levels):
+        if level == 5:
+            node = node.repartition("shard")
         # What the left half draws: half of all blocks, dealt over the sources in turn.
         draw = _draw("quotas[i]", "a.total", "a.draws", uniform.replace("@level", str(level)))
         left = F.expr(f"""
@@ -129,53 +142,95 @@ def _deal(sources: DataFrame, shards: int, seed: str) -> DataFrame:
     return dealt
 
 
-def plan(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3, shards: int = 16, whole: bool = False, rows: bool = False, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and copies, array<struct<epoch, shard, words>>; with rows, the document's columns as struct row too.
-
-    shards: how many output shards, raised to a power of two.
-    A copy goes to the shard whose blocks hold its first word.  words is what
-    the quota leaves of the copy; with whole, a copy that the quota cuts counts
-    wholly if its middle lies inside, else not at all.
+def _power(x: float, most: int) -> int:
+    """The least power of two that is not below x, most at most."""
+    return min(most, 1 << max(0, int(-(-x // 1)) - 1).bit_length())
+
+
+class Plan:
+    """Sources, the blocks that shards draw of them, and where each document lies."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...], most: int, shards: int | None, seed: str, doc_id: str, source: str, text: str):
+        self.docs, self.seed = docs, seed
+        place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+        self.columns = [
+            F.col(doc_id).alias("doc_id"),
+            F.col(source).cast("string").alias("source"),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            place.alias("place"),
+            F.xxhash64(F.col(text)).alias("tie"),
+        ]
+        self.sized = cut(docs.select(*self.columns))
+        self.digits = max(1, min(8, len(f"{self.sized.count() // SLICE:x}")))
+        slices = self.sized.groupBy("source", F.substring("place", 1, self.digits).alias("slice")).agg(F.sum("size").alias("slice_size"))
+        slices = slices.withColumn("before", F.sum("slice_size").over(W.partitionBy("source").orderBy("slice")) - F.col("slice_size"))
+        sources = _targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, most)
+        block = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("source_size") / MOST_BLOCKS)).cast("bigint")
+        self.sources = cut(sources.select("source", "rank", "source_size", "target", F.round("target").cast("bigint").alias("quota"), block.alias("block")))
+        drawn = self.sources.agg(F.sum("quota").alias("n")).first()["n"] or 0
+        self.parts = _power(drawn / PART_WORDS, MOST_PARTS)
+        self.shards = _power(shards, 1 << 20) if shards else min(self.parts, MOST_SHARDS)
+        self.parts = max(self.parts, self.shards)
+        prefix = slices.select("source", "slice", "before").join(self.sources, slices["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
+        self.prefix = cut(prefix.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before", "rank", "source_size", "target", "quota", "block"))
+        self.draws = self._draws(most)
+
+    def placed(self, rows: bool = False) -> DataFrame:
+        """Documents with their source's row and the block they are in; with rows, their columns as struct row."""
+        sized = self.docs.select(*self.columns, F.struct(*[f"`{c}`" for c in self.docs.columns]).alias("row")) if rows else self.sized
+        sized = sized.withColumn("slice", F.substring("place", 1, self.digits))
+        upto = W.partitionBy("source", "slice").orderBy("place", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
+        placed = sized.withColumn("inside", F.sum("size").over(upto) - F.col("size")).join(self.prefix, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b")))
+        placed = placed.withColumn("offset", F.col("before") + F.col("inside")).withColumn("number", F.expr("(offset + size div 2) div block"))
+        return placed.select("doc_id", "source", "size", "rank", "source_size", "target", "quota", "offset", "number", *(["row", "tie"] if rows else []))
+
+    def _draws(self, most: int) -> DataFrame:
+        """rank, number (of a block), start (its first word's offset) and draws, array<struct<epoch, shard, before>>: the passes in which a shard draws it, and the words drawn before."""
+        held = self.placed().where("size > 0").groupBy("rank", "number").agg(F.sum("size").alias("weight"), F.min("offset").alias("start"), F.first("quota").alias("quota"), F.first("source_size").alias("source_size"))
+        passes = F.sequence(F.lit(0), F.least(F.lit(most), F.ceil(F.col("quota") / F.col("source_size"))).cast("int") - 1)
+        every = held.where("quota > 0").withColumn("epoch", F.explode(passes))
+        order = W.partitionBy("rank").orderBy("epoch", F.md5(F.concat_ws(":", F.lit(self.seed), "rank", "epoch", "number")))
+        every = every.withColumn("nth", F.row_number().over(order) - 1).withColumn("before", F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("weight"))
+        every = cut(every.where("before < quota").select("rank", "number", "start", "epoch", "nth", "before"))
+        quotas = self.sources.select("rank").join(every.groupBy("rank").agg(F.count(F.lit(1)).alias("blocks")), "rank", "left").select("rank", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+        self.dealt = cut(_deal(quotas, self.shards, self.seed))
+        ends = self.dealt.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("dealt"))
+        ends = ends.select("rank", F.expr("aggregate(dealt, cast(array() as array<bigint>), (a, d) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + d.blocks)))").alias("ends"))
+        taken = every.join(ends, "rank").withColumn("shard", F.expr("size(filter(ends, x -> x <= nth))")).where(F.col("shard") < self.shards)
+        return taken.groupBy("rank", "number", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "before"))).alias("draws"))
+
+    def copies(self, whole: bool, rows: bool) -> DataFrame:
+        placed, draws = self.placed(rows), cut(self.draws)
+        both = placed.join(draws, ["rank", "number"], "left")
+        rest = "(quota - d.before - (offset - start))"
+        words = f"if(2 * {rest} >= size, size, 0L)" if whole else f"least(size, {rest})"
+        copies = F.expr(f"filter(transform(coalesce(draws, array()), d -> named_struct('epoch', d.epoch, 'shard', d.shard, 'words', if(size = 0, 0L, {words}))), c -> c.words > 0)")
+        return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row", "tie"] if rows else []))
+
+
+def plan(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3, shards: int | None = None, whole: bool = False, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target and copies, array<struct<epoch, shard, words>>.
+
+    shards: how many output shards, raised to a power of two; without it they follow
+    the words.  words is what the quota leaves of the copy; with whole, a copy that the
+    quota cuts counts wholly if its middle lies inside, else not at all.
     """
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    columns = [
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        order.alias("place"),
-        F.substring(order, 1, 3).alias("slice"),
-    ]
-    sized = cut(docs.select(*columns))
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    slices = slices.withColumn("before", F.sum("slice_size").over(W.partitionBy("source").orderBy("slice")) - F.col("slice_size"))
-    sources = _targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, most)
-    quota = F.round("target").cast("bigint")
-    block = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("source_size").over(W.partitionBy()) / MOST_BLOCKS))
-    sources = cut(sources.withColumn("quota", quota).withColumn("block", block.cast("bigint")).withColumn("blocks", F.ceil(F.col("quota") / F.col("block")).cast("bigint")))
-    dealt = _deal(sources.select("rank", "blocks"), shards, seed)
-    ends = dealt.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("dealt"))
-    ends = ends.select("rank", F.expr("transform(sequence(1, size(dealt)), n -> aggregate(slice(dealt, 1, n), 0L, (s, d) -> s + d.blocks))").alias("ends"))
-    sources = sources.join(ends, "rank", "left")
-    prefix = slices.select("source", "slice", "before").join(sources, slices["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    prefix = prefix.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before", "source_size", "target", "quota", "block", "ends")
-    inside = F.sum("size").over(W.partitionBy("source", "slice").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    if rows:
-        sized = docs.select(*columns, F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    placed = sized.withColumn("inside", inside).join(prefix, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b")))
-    placed = placed.withColumn("offset", F.col("before") + F.col("inside"))
-    words = "if(size = 0 or quota <= offset + e * source_size, 0L, " + ("if(2 * (quota - offset - e * source_size) >= size, size, 0L)" if whole else "least(size, quota - offset - e * source_size)") + ")"
-    shard = "size(filter(ends, x -> x <= (offset + e * source_size) div block))"
-    copies = F.expr(f"filter(transform(sequence(0, {most - 1}), e -> named_struct('epoch', e, 'shard', {shard}, 'words', {words})), c -> c.words > 0)")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if rows else []))
+    return Plan(docs, weights, most, shards, seed, doc_id, source, text).copies(whole, rows=False)
 
 
 def taken(copies: Column) -> Column:
     return F.aggregate(copies, F.lit(0).cast("bigint"), lambda s, c: s + c["words"])
 
 
-def mix(docs: DataFrame, *, shards: int = 16, seed: str = "mix", **options) -> DataFrame:
-    """The mixed documents: rows of docs, each as often as its whole copies are drawn, dealt to shards and shuffled inside them. Rows that aren't drawn go."""
-    drawn = plan(docs, shards=shards, seed=seed, whole=True, rows=True, **options).select("row", "doc_id", F.explode("copies").alias("copy"))
-    local = F.md5(F.concat_ws(":", F.lit(seed), F.lit("local"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy.epoch").cast("string")))
-    drawn = drawn.select("row", F.col("copy.shard").alias("shard"), local.alias("at"))
-    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", "at").select("row.*")
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3, shards: int | None = None, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mixed documents: rows of docs, each as often as its whole copies are drawn, dealt to shards and shuffled inside them. Rows that aren't drawn go.
+
+    A shard is one partition, or as many as its words need; a partition has rows of one shard alone.
+    """
+    made = Plan(docs, weights, most, shards, seed, doc_id, source, text)
+    drawn = made.copies(whole=True, rows=True).select("row", "doc_id", "tie", F.explode("copies").alias("copy"))
+    local = F.md5(F.concat_ws(":", F.lit(seed), F.lit("local"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tie").cast("string"), F.col("copy.epoch").cast("string")))
+    split = made.parts // made.shards
+    part = F.col("copy.shard") * split + F.pmod(F.xxhash64(local), F.lit(split))
+    drawn = drawn.select("row", local.alias("at"), part.cast("int").alias("part"))
+    return drawn.repartitionById(made.parts, "part").sortWithinPartitions("at").select("row.*")

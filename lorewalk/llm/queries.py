@@ -55,15 +55,20 @@ levels AS (
   SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - CAST(coalesce(sum(cap) OVER before, 0) AS BIGINT))
             / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM weighed WINDOW before AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM levels),
+targets AS (SELECT source, rnk, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target, greatest(256, (source_size + 1023) // 1024) AS block FROM levels),
 placed AS (
   SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS off
-  FROM sized)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - off))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - off - source_size))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - off - 2 * source_size)) AS BIGINT) AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+  FROM sized),
+numbered AS (
+  SELECT doc_id, size, rnk, source_size, target, CAST(round(target) AS BIGINT) AS quota, off, (off + size // 2) // block AS number
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source),
+held AS (SELECT rnk, number, CAST(sum(size) AS BIGINT) AS weight, min(off) AS start FROM numbered WHERE size > 0 GROUP BY rnk, number),
+drawn AS (
+  SELECT rnk, number, start, CAST(sum(weight) OVER (PARTITION BY rnk ORDER BY epoch, md5('mix:' || rnk || ':' || epoch || ':' || number) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - weight AS before
+  FROM held, (SELECT unnest([0, 1, 2]) AS epoch)),
+befores AS (SELECT rnk, number, start, list(before) AS before FROM drawn GROUP BY rnk, number, start)
+SELECT doc_id, size, source_size, target, CAST(coalesce(list_sum(list_transform(before, lambda b: greatest(0, least(size, quota - b - (off - start))))), 0) AS BIGINT) AS taken
+FROM numbered LEFT JOIN befores USING (rnk, number)
 """
 
 
