@@ -21,7 +21,8 @@ there; the largest inner product is then the smallest distance.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, or whose length is not the table's most frequent one, take no part, nor do
 rows without id; rows with one id count as one for a query's result; an empty
-table gives an empty result.
+table gives an empty result;
+the two named columns alone are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ distinct before the anti-join, so a first turn that all share is one row there.
 Defined results: rows without conv_id belong to no conversation and go;
 repeated rows (same id, turn, role and text) count once; turns are ordered by
 turn (null last), then role, then text; null role and text count as empty; a
-conversation with empty texts is one like any other.
+conversation with empty texts is one like any other;
+conv_id, turn, role and text alone are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ number of labels fix its size).
 Defined results: `und` with score 0 for null texts, texts without a letter, and
 all texts if no row is labelled; null ids count as the empty text for the split;
 repeated rows are documents of their own; an empty table gives an empty result.
+Input columns stay; text, and those named as new ones, whatever the case, go.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewalk.llm import blocks
+from lorewalk.llm.shared import without
 
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LABEL, WINDOWS = 300, 4
@@ -176,7 +178,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def predict(docs: DataFrame, network: Network | None, *, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """doc's columns but text, with the predicted label and its probability."""
     held = docs.sparkSession.sparkContext.broadcast(network)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", lang_pred, score)]
+    names = without(docs.columns, ["text", lang_pred, score])
+    kept = [f for f in docs.schema.fields if f.name in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{lang_pred} string", f"{score} double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,8 @@ Defined results: null and wordless texts have no shingles, are linked with
 nothing and are kept; a text with fewer words than a shingle has one shingle of
 all of them; documents with one id count as one document (with the
 smallest of its sets, as bytes); a null id is no document for linking: its row is kept and its
-component is null; an empty table gives an empty result.
+component is null; an empty table gives an empty result.  Other columns than doc_id
+and text have no part; keep_one returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewalk.llm import blocks
-from lorewalk.llm.shared import checked, cut
+from lorewalk.llm.shared import checked, cut, fresh
 
 CIRCLE_BITS = 20
 BANDS, ROWS = 40, 6
@@ -286,5 +287,6 @@ def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     if several.isEmpty():
         return out.select(*[f"`{c}`" for c in docs.columns])
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))
-    one = out.join(checked(several), "doc_id", "left_semi").withColumn("nth__", nth).where("nth__ = 1").drop("nth__")
+    (place,) = fresh(docs.columns, "nth")
+    one = out.join(checked(several), "doc_id", "left_semi").withColumn(place, nth).where(F.col(place) == 1).drop(place)
     return out.join(checked(several), "doc_id", "left_anti").unionByName(one).select(*[f"`{c}`" for c in docs.columns])

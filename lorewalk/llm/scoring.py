@@ -25,7 +25,8 @@ Tables have a fixed size, so what is broadcast and returned doesn't grow.
 Defined results: null text counts as empty and consists of its end; a null id
 counts as the empty text for the split; repeated rows are documents of their own;
 without training rows every token has probability one in the empty model (N and V
-are 0); an empty table gives an empty result.
+are 0); an empty table gives an empty result;
+doc_id and text alone are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ texts that hold one of their words.  One scan, no shuffle.
 
 Defined results: null text counts as empty and has no spans; texts of any
 length are scanned whole; positions are code points, end exclusive; spans are
-ordered by start, then by kind in the order of KINDS.
+ordered by start, then by kind in the order of KINDS; repeated rows are rows of their
+own; an empty table gives an empty result.  Input columns stay; one named as the new
+column, whatever the case, gives way to it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewalk.llm import blocks
+from lorewalk.llm.shared import without
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem", "der", "ssh", "jwt")
@@ -308,7 +311,7 @@ def find(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
 
 def scan(docs: DataFrame, *, text: str = "text", secrets: str = "secrets", keep_text: bool = True) -> DataFrame:
     """Every row with its spans, array<struct<kind, start, end>>; without the text if it isn't kept. An input column named as the new one is replaced."""
-    kept = [c for c in docs.columns if c != secrets and (keep_text or c != text)]
+    kept = [c for c in without(docs.columns, [secrets]) if keep_text or c != text]
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(secrets, T.ArrayType(span))])
