@@ -12,7 +12,11 @@ return the columns of documents.
    most three times each, and shuffled in shards.
 5. BPE: ids and n_tokens are added.
 
-Rows without doc_id, text, lang or source go through as the operators define.
+Rows without doc_id, text, lang or source go through as the operators define: a null
+text has no words and fails the plain rules, a null id is no near duplicate, a null
+language and a null source stand for themselves, repeated rows leave one, and an empty
+table gives an empty result.  Extra columns stay, whatever their names; only `ids`
+and `n_tokens` (in any case) give way to the last stage's.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewalk.llm import bpe, mixing, neardup, quality, secrets
-from lorewalk.llm.shared import cut
+from lorewalk.llm.shared import cut, fresh
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,10 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, secrets="__secrets")
-    text = secrets.redact(F.col("text"), F.col("__secrets"))
-    columns = {"text": text} | ({"n_chars": F.when(F.size("__secrets") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("bigint")} if "n_chars" in docs.columns else {})
-    return found.withColumns(columns).select(*[f"`{c}`" for c in docs.columns])
+    (found,) = fresh(docs.columns, "secrets")
+    text = secrets.redact(F.col("text"), F.col(found))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size(found) > 0, F.length(text)).otherwise(F.col("n_chars")).cast("bigint")
+    return secrets.scan(docs, secrets=found).withColumns(changed).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
