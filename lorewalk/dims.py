@@ -91,6 +91,17 @@ SUPPORT = {
 }
 OTHER_SUPPORT = "partial"
 
+#: Files that show a server the project, by language, in the order they are looked for.
+MANIFESTS = {
+    "typescript": ("tsconfig.json", "jsconfig.json", "package.json"),
+    "javascript": ("tsconfig.json", "jsconfig.json", "package.json"),
+    "python": ("pyproject.toml", "setup.py", "setup.cfg"),
+    "rust": ("Cargo.toml",),
+    "kotlin": ("build.gradle.kts", "build.gradle", "settings.gradle.kts"),
+    "java": ("pom.xml", "build.gradle", "build.gradle.kts"),
+    "go": ("go.mod",),
+}
+
 #: alias, type of text search
 FILE_TYPES = {
     "rust": "rust", "rs": "rust", "typescript": "ts", "ts": "ts", "tsx": "ts", "javascript": "js", "js": "js", "jsx": "js", "python": "py", "py": "py",
@@ -124,62 +135,227 @@ OPERATIONS = {
 
 #: tier: seconds for init, request, cross-file request, shutdown
 TIERS = {"fast": (15, 15, 20, 5), "standard": (45, 30, 45, 5), "slow": (120, 60, 90, 5)}
-#: language: server, command, tier; all others are of the standard tier
+#: language: server, command, arguments, argument for the version, how to install it, tier
 SERVERS = {
-    "rust": ("rust-analyzer", "rust-analyzer", "fast"),
-    "cpp": ("clangd", "clangd", "fast"),
-    "zig": ("zls", "zls", "fast"),
-    "java": ("jdtls", "jdtls", "slow"),
-    "kotlin": ("kotlin-lsp", "kotlin-lsp", "slow"),
-    "scala": ("metals", "metals", "slow"),
-    "clojure": ("clojure-lsp", "clojure-lsp", "standard"),
-    "csharp": ("csharp-ls", "csharp-ls", "standard"),
-    "fsharp": ("fsautocomplete", "fsautocomplete", "standard"),
-    "typescript": ("typescript-language-server", "typescript-language-server", "slow"),
-    "javascript": ("typescript-language-server", "typescript-language-server", "slow"),
-    "vue": ("vue-language-server", "vue-language-server", "standard"),
-    "python": ("pyright", "pyright-langserver", "slow"),
-    "ruby": ("ruby-lsp", "ruby-lsp", "standard"),
-    "php": ("intelephense", "intelephense", "standard"),
-    "perl": ("PerlNavigator", "perlnavigator", "standard"),
-    "lua": ("lua-language-server", "lua-language-server", "standard"),
-    "shellscript": ("bash-language-server", "bash-language-server", "standard"),
-    "powershell": ("PowerShell EditorServices", "pwsh", "standard"),
-    "haskell": ("haskell-language-server", "haskell-language-server-wrapper", "slow"),
-    "elixir": ("elixir-ls", "elixir-ls", "standard"),
-    "erlang": ("erlang_ls", "erlang_ls", "standard"),
-    "elm": ("elm-language-server", "elm-language-server", "standard"),
-    "ocaml": ("ocamllsp", "ocamllsp", "standard"),
-    "go": ("gopls", "gopls", "fast"),
-    "swift": ("sourcekit-lsp", "sourcekit-lsp", "standard"),
-    "dart": ("dart-language-server", "dart", "standard"),
-    "terraform": ("terraform-ls", "terraform-ls", "standard"),
-    "yaml": ("yaml-language-server", "yaml-language-server", "standard"),
-    "toml": ("taplo", "taplo", "standard"),
-    "nix": ("nil", "nil", "standard"),
-    "rego": ("regal", "regal", "standard"),
-    "r": ("R languageserver", "R", "standard"),
-    "julia": ("LanguageServer.jl", "julia", "standard"),
-    "fortran": ("fortls", "fortls", "standard"),
-    "markdown": ("marksman", "marksman", "standard"),
-}
+    "rust": ("rust-analyzer", "rust-analyzer", (), "--version", "rustup component add rust-analyzer", "fast"),
+    "cpp": ("clangd", "clangd", ("--background-index", "--header-insertion=iwyu", "--clang-tidy", "--completion-style=detailed", "--function-arg-placeholders", "--pch-storage=memory",), "--version", "apt install clangd", "fast"),
+    "zig": ("zls", "zls", (), "--version", "Download from https://github.com/zigtools/zls/releases", "fast"),
+    "java": ("jdtls", "jdtls", (), "--version", "Download from https://download.eclipse.org/jdtls/snapshots/", "slow"),
+    "kotlin": ("kotlin-lsp", "kotlin-lsp", ("--stdio",), "--help", "Download from https://github.com/JetBrains/kotlin-lsp/releases", "slow"),
+    "scala": ("metals", "metals", (), "--version", "cs install metals", "slow"),
+    "clojure": ("clojure-lsp", "clojure-lsp", (), "--version", "Download from https://github.com/clojure-lsp/clojure-lsp/releases", "standard"),
+    "csharp": ("csharp-ls", "csharp-ls", (), "--version", "dotnet tool install -g csharp-ls", "standard"),
+    "fsharp": ("fsautocomplete", "fsautocomplete", ("--adaptive-lsp-server-enabled", "--project-graph-enabled",), "--version", "dotnet tool install -g fsautocomplete", "standard"),
+    "typescript": ("typescript-language-server", "typescript-language-server", ("--stdio",), "--version", "npm install -g typescript typescript-language-server", "slow"),
+    "javascript": ("typescript-language-server", "typescript-language-server", ("--stdio",), "--version", "npm install -g typescript typescript-language-server", "slow"),
+    "vue": ("vue-language-server", "vue-language-server", ("--stdio",), "--version", "npm install -g @vue/language-server", "standard"),
+    "python": ("pyright", "pyright-langserver", ("--stdio",), "--version", "npm install -g pyright", "slow"),
+    "ruby": ("ruby-lsp", "ruby-lsp", (), "--version", "gem install ruby-lsp", "standard"),
+    "php": ("intelephense", "intelephense", ("--stdio",), "--version", "npm install -g intelephense", "standard"),
+    "perl": ("PerlNavigator", "perlnavigator", ("--stdio",), "--version", "npm install -g perlnavigator-server", "standard"),
+    "lua": ("lua-language-server", "lua-language-server", (), "--version", "Download from https://github.com/LuaLS/lua-language-server/releases", "standard"),
+    "shellscript": ("bash-language-server", "bash-language-server", ("start",), "--version", "npm install -g bash-language-server", "standard"),
+    "powershell": ("PowerShell EditorServices", "pwsh", ("-NoLogo", "-NoProfile", "-Command", "Import-Module PowerShellEditorServices; Start-EditorServices -HostName lorewalk -HostProfileId lorewalk -HostVersion 1.0.0 -BundledModulesPath $env:PSES_BUNDLE_PATH -Stdio",), "--version", "Install-Module -Name PowerShellEditorServices -Scope CurrentUser", "standard"),
+    "haskell": ("haskell-language-server", "haskell-language-server-wrapper", ("--lsp",), "--version", "ghcup install hls", "slow"),
+    "elixir": ("elixir-ls", "elixir-ls", (), "--version", "Download from https://github.com/elixir-lsp/elixir-ls/releases", "standard"),
+    "erlang": ("erlang_ls", "erlang_ls", (), "--version", "Download from https://github.com/erlang-ls/erlang_ls/releases", "standard"),
+    "elm": ("elm-language-server", "elm-language-server", (), "--version", "npm install -g @elm-tooling/elm-language-server", "standard"),
+    "ocaml": ("ocamllsp", "ocamllsp", (), "--version", "opam install ocaml-lsp-server", "standard"),
+    "go": ("gopls", "gopls", ("serve",), "version", "go install golang.org/x/tools/gopls@latest", "fast"),
+    "swift": ("sourcekit-lsp", "sourcekit-lsp", (), "--version", "Download from https://swift.org/download/", "standard"),
+    "dart": ("dart-language-server", "dart", ("language-server", "--protocol=lsp",), "--version", "apt install dart", "standard"),
+    "terraform": ("terraform-ls", "terraform-ls", ("serve",), "--version", "Download from https://releases.hashicorp.com/terraform-ls/", "standard"),
+    "yaml": ("yaml-language-server", "yaml-language-server", ("--stdio",), "--version", "npm install -g yaml-language-server", "standard"),
+    "toml": ("taplo", "taplo", ("lsp", "stdio",), "--version", "cargo install taplo-cli --locked", "standard"),
+    "nix": ("nil", "nil", (), "--version", "nix profile install nixpkgs#nil", "standard"),
+    "rego": ("regal", "regal", ("language-server",), "version", "Download from https://github.com/StyraInc/regal/releases", "standard"),
+    "r": ("R languageserver", "R", ("--slave", "-e", "languageserver::run()",), "--version", "R -e 'install.packages(\\", "standard"),
+    "julia": ("LanguageServer.jl", "julia", ("--startup-file=no", "--history-file=no", "-e", "using LanguageServer; runserver()",), "--version", "julia -e 'using Pkg; Pkg.add(\\", "standard"),
+    "fortran": ("fortls", "fortls", (), "--version", "pip install fortls", "standard"),
+    "markdown": ("marksman", "marksman", ("server",), "--version", "Download from https://github.com/artempyanykh/marksman/releases", "standard"),
+}
 
-#: language: "category node_type" of its syntax nodes, in the order they are offered
+#: language: category, node type and example of its syntax nodes, in the order they are offered
 NODE_TYPES = {
-    "python": "class class_definition, function function_definition, decorator decorated_definition, import import_statement, import import_from_statement, assignment assignment, if if_statement, for for_statement, while while_statement, try try_statement, with with_statement, lambda lambda",
-    "typescript": "class class_declaration, class abstract_class_declaration, function function_declaration, function arrow_function, method method_definition, interface interface_declaration, type type_alias_declaration, enum enum_declaration, import import_statement, export export_statement, variable lexical_declaration, variable variable_declaration",
-    "javascript": "class class_declaration, function function_declaration, function arrow_function, function generator_function_declaration, method method_definition, import import_statement, export export_statement, variable lexical_declaration, variable variable_declaration, if if_statement, for for_statement, for for_in_statement",
-    "rust": "struct struct_item, enum enum_item, function function_item, trait trait_item, impl impl_item, module mod_item, use use_declaration, type type_item, const const_item, static static_item, macro macro_definition, attribute attribute_item",
-    "go": "struct struct_type, interface interface_type, function function_declaration, method method_declaration, type type_declaration, type type_alias, import import_declaration, const const_declaration, var var_declaration, var short_var_declaration, if if_statement, for for_statement",
-    "java": "class class_declaration, interface interface_declaration, enum enum_declaration, record record_declaration, method method_declaration, constructor constructor_declaration, field field_declaration, import import_declaration, annotation annotation_type_declaration, annotation annotation, if if_statement, for for_statement",
-    "kotlin": "class class_declaration, object object_declaration, companion companion_object, function function_declaration, function anonymous_function, property property_declaration, import import_header, type type_alias, enum enum_entry, annotation annotation, if if_expression, when when_expression",
-    "cpp": "class class_specifier, struct struct_specifier, function function_definition, namespace namespace_definition, template template_declaration, enum enum_specifier, field field_declaration, typedef type_definition, concept concept_definition, using using_declaration, if if_statement, for for_statement",
-    "csharp": "class class_declaration, interface interface_declaration, struct struct_declaration, enum enum_declaration, record record_declaration, method method_declaration, constructor constructor_declaration, property property_declaration, field field_declaration, namespace namespace_declaration, using using_directive, delegate delegate_declaration",
-    "shellscript": "function function_definition, variable variable_assignment, if if_statement, case case_statement, for for_statement, while while_statement, for c_style_for_statement, pipeline pipeline, command command, redirect redirected_statement",
-    "ruby": "class class, module module, method method, method singleton_method, lambda lambda, block block, block do_block, assignment assignment, if if, case case, while while, for for",
-    "lua": "function function_definition, function function_declaration, variable variable_declaration, assignment assignment_statement, table table_constructor, if if_statement, for for_statement, for for_in_statement, while while_statement, repeat repeat_statement",
-    "php": "class class_declaration, interface interface_declaration, trait trait_declaration, enum enum_declaration, function function_definition, method method_declaration, namespace namespace_definition, use namespace_use_declaration, property property_declaration, const const_declaration, if if_statement, foreach foreach_statement",
-}
+    "python": (
+        ("class", "class_definition", "class MyClass:"),
+        ("function", "function_definition", "def my_func():"),
+        ("decorator", "decorated_definition", "@decorator def/class"),
+        ("import", "import_statement", "import module"),
+        ("import", "import_from_statement", "from x import y"),
+        ("assignment", "assignment", "x = value"),
+        ("if", "if_statement", "if condition:"),
+        ("for", "for_statement", "for x in items:"),
+        ("while", "while_statement", "while condition:"),
+        ("try", "try_statement", "try: ... except:"),
+        ("with", "with_statement", "with ctx as x:"),
+        ("lambda", "lambda", "lambda x: x"),
+    ),
+    "typescript": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("class", "abstract_class_declaration", "abstract class X {}"),
+        ("function", "function_declaration", "function myFunc() {}"),
+        ("function", "arrow_function", "const fn = () => {}"),
+        ("method", "method_definition", "myMethod() {}"),
+        ("interface", "interface_declaration", "interface I {}"),
+        ("type", "type_alias_declaration", "type T = ..."),
+        ("enum", "enum_declaration", "enum E {}"),
+        ("import", "import_statement", "import x from 'y'"),
+        ("export", "export_statement", "export { x }"),
+        ("variable", "lexical_declaration", "const/let x = ..."),
+        ("variable", "variable_declaration", "var x = ..."),
+    ),
+    "javascript": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("function", "function_declaration", "function myFunc() {}"),
+        ("function", "arrow_function", "const fn = () => {}"),
+        ("function", "generator_function_declaration", "function* gen() {}"),
+        ("method", "method_definition", "myMethod() {}"),
+        ("import", "import_statement", "import x from 'y'"),
+        ("export", "export_statement", "export { x }"),
+        ("variable", "lexical_declaration", "const/let x = ..."),
+        ("variable", "variable_declaration", "var x = ..."),
+        ("if", "if_statement", "if (cond) {}"),
+        ("for", "for_statement", "for (;;) {}"),
+        ("for", "for_in_statement", "for (x in obj) {}"),
+    ),
+    "rust": (
+        ("struct", "struct_item", "struct S {}"),
+        ("enum", "enum_item", "enum E {}"),
+        ("function", "function_item", "fn my_func() {}"),
+        ("trait", "trait_item", "trait T {}"),
+        ("impl", "impl_item", "impl T for S {}"),
+        ("module", "mod_item", "mod my_mod {}"),
+        ("use", "use_declaration", "use crate::x;"),
+        ("type", "type_item", "type T = ...;"),
+        ("const", "const_item", "const X: T = ...;"),
+        ("static", "static_item", "static X: T = ...;"),
+        ("macro", "macro_definition", "macro_rules! m {}"),
+        ("attribute", "attribute_item", "#[derive(...)]"),
+    ),
+    "go": (
+        ("struct", "struct_type", "type S struct {}"),
+        ("interface", "interface_type", "type I interface {}"),
+        ("function", "function_declaration", "func myFunc() {}"),
+        ("method", "method_declaration", "func (r *R) M() {}"),
+        ("type", "type_declaration", "type T ..."),
+        ("type", "type_alias", "type T = Other"),
+        ("import", "import_declaration", "import \"pkg\""),
+        ("const", "const_declaration", "const X = ..."),
+        ("var", "var_declaration", "var x = ..."),
+        ("var", "short_var_declaration", "x := value"),
+        ("if", "if_statement", "if cond {}"),
+        ("for", "for_statement", "for i := range x {}"),
+    ),
+    "java": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("interface", "interface_declaration", "interface I {}"),
+        ("enum", "enum_declaration", "enum E {}"),
+        ("record", "record_declaration", "record R() {}"),
+        ("method", "method_declaration", "void m() {}"),
+        ("constructor", "constructor_declaration", "MyClass() {}"),
+        ("field", "field_declaration", "private int x;"),
+        ("import", "import_declaration", "import java.util.*;"),
+        ("annotation", "annotation_type_declaration", "@interface A {}"),
+        ("annotation", "annotation", "@Override"),
+        ("if", "if_statement", "if (cond) {}"),
+        ("for", "for_statement", "for (;;) {}"),
+    ),
+    "kotlin": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("object", "object_declaration", "object Singleton {}"),
+        ("companion", "companion_object", "companion object {}"),
+        ("function", "function_declaration", "fun myFunc() {}"),
+        ("function", "anonymous_function", "fun() { ... }"),
+        ("property", "property_declaration", "val/var x = ..."),
+        ("import", "import_header", "import pkg.Class"),
+        ("type", "type_alias", "typealias T = ..."),
+        ("enum", "enum_entry", "enum class entries"),
+        ("annotation", "annotation", "@Annotation"),
+        ("if", "if_expression", "if (cond) {} else {}"),
+        ("when", "when_expression", "when (x) {}"),
+    ),
+    "cpp": (
+        ("class", "class_specifier", "class MyClass {}"),
+        ("struct", "struct_specifier", "struct S {}"),
+        ("function", "function_definition", "void f() {}"),
+        ("namespace", "namespace_definition", "namespace ns {}"),
+        ("template", "template_declaration", "template<T> ..."),
+        ("enum", "enum_specifier", "enum E {}"),
+        ("field", "field_declaration", "int member;"),
+        ("typedef", "type_definition", "typedef ... T;"),
+        ("concept", "concept_definition", "concept C = ..."),
+        ("using", "using_declaration", "using ns::name;"),
+        ("if", "if_statement", "if (cond) {}"),
+        ("for", "for_statement", "for (;;) {}"),
+    ),
+    "csharp": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("interface", "interface_declaration", "interface I {}"),
+        ("struct", "struct_declaration", "struct S {}"),
+        ("enum", "enum_declaration", "enum E {}"),
+        ("record", "record_declaration", "record R() {}"),
+        ("method", "method_declaration", "void Method() {}"),
+        ("constructor", "constructor_declaration", "MyClass() {}"),
+        ("property", "property_declaration", "public int X { get; }"),
+        ("field", "field_declaration", "private int _x;"),
+        ("namespace", "namespace_declaration", "namespace Ns {}"),
+        ("using", "using_directive", "using System;"),
+        ("delegate", "delegate_declaration", "delegate void D();"),
+    ),
+    "shellscript": (
+        ("function", "function_definition", "my_func() {}"),
+        ("variable", "variable_assignment", "VAR=value"),
+        ("if", "if_statement", "if cond; then"),
+        ("case", "case_statement", "case $x in"),
+        ("for", "for_statement", "for x in items; do"),
+        ("while", "while_statement", "while cond; do"),
+        ("for", "c_style_for_statement", "for ((i=0;;))"),
+        ("pipeline", "pipeline", "cmd1 | cmd2"),
+        ("command", "command", "echo hello"),
+        ("redirect", "redirected_statement", "cmd > file"),
+    ),
+    "ruby": (
+        ("class", "class", "class MyClass"),
+        ("module", "module", "module MyModule"),
+        ("method", "method", "def my_method"),
+        ("method", "singleton_method", "def self.method"),
+        ("lambda", "lambda", "-> { ... }"),
+        ("block", "block", "do |x| ... end"),
+        ("block", "do_block", "do ... end"),
+        ("assignment", "assignment", "x = value"),
+        ("if", "if", "if condition"),
+        ("case", "case", "case value"),
+        ("while", "while", "while condition"),
+        ("for", "for", "for x in items"),
+    ),
+    "lua": (
+        ("function", "function_definition", "function f() end"),
+        ("function", "function_declaration", "local function f()"),
+        ("variable", "variable_declaration", "local x = ..."),
+        ("assignment", "assignment_statement", "x = value"),
+        ("table", "table_constructor", "{ key = val }"),
+        ("if", "if_statement", "if cond then end"),
+        ("for", "for_statement", "for i=1,n do end"),
+        ("for", "for_in_statement", "for k,v in pairs()"),
+        ("while", "while_statement", "while cond do end"),
+        ("repeat", "repeat_statement", "repeat until cond"),
+    ),
+    "php": (
+        ("class", "class_declaration", "class MyClass {}"),
+        ("interface", "interface_declaration", "interface I {}"),
+        ("trait", "trait_declaration", "trait T {}"),
+        ("enum", "enum_declaration", "enum E {}"),
+        ("function", "function_definition", "function f() {}"),
+        ("method", "method_declaration", "public function m()"),
+        ("namespace", "namespace_definition", "namespace Ns;"),
+        ("use", "namespace_use_declaration", "use Ns\\Class;"),
+        ("property", "property_declaration", "public $x;"),
+        ("const", "const_declaration", "const X = ...;"),
+        ("if", "if_statement", "if ($cond) {}"),
+        ("foreach", "foreach_statement", "foreach ($x as $y)"),
+    ),
+}
 
 #: Names that are never searched, whatever the project says; those with a star are endings.
 IGNORED_NAMES = (
@@ -217,11 +393,40 @@ def capabilities(spark: SparkSession) -> DataFrame:
     """A level for each language (and for others, `unknown`) and feature."""
     rows = []
     for language in [i for i, *_ in LANGUAGES] + ["unknown"]:
-        level, other = SUPPORT.get(language, (OTHER_SUPPORT, {}))
-        rows += [(language, f, other.get(f, level)) for f, _, _ in FEATURES]
+        rows += [(language, f, support_level(language, f)) for f, _, _ in FEATURES]
     return spark.createDataFrame(rows, "language string, feature string, level string")
 
 
+#: What to do instead where a language lacks a feature; any other one has nothing better.
+INSTEAD = {
+    "rename": "search the text for the name",
+    "find_implementations": "find the references, or search the text for the name",
+    "incoming_calls": "find the references, or search the text for the name",
+    "outgoing_calls": "find the references of what may be called",
+}
+
+
+def support_level(language: str, feature: str) -> str:
+    """full, partial or none."""
+    level, other = SUPPORT.get(language, (OTHER_SUPPORT, {}))
+    return other.get(feature, level)
+
+
+def unsupported_message(language: str, feature: str) -> str:
+    """What to say where a language's server lacks a feature, and what to do instead."""
+    shown = next((n for i, n, *_ in LANGUAGES if i == language), language)
+    server = SERVERS[language][0] if language in SERVERS else "its server"
+    asked = next(n for f, n, _ in FEATURES if f == feature)
+    instead = INSTEAD.get(feature)
+    return f"{shown} ({server}) does not support '{asked}'" + (f"; {instead}" if instead else "")
+
+
+def unsupported(spark: SparkSession) -> DataFrame:
+    """language, feature and message of what is not supported."""
+    rows = [(i, f, unsupported_message(i, f)) for i, *_ in LANGUAGES for f, _, _ in FEATURES if support_level(i, f) == "none"]
+    return spark.createDataFrame(rows, "language string, feature string, message string")
+
+
 def features(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FEATURES), "feature string, shown string, command string")
 
@@ -231,13 +436,18 @@ def file_types(spark: SparkSession) -> DataFrame:
 
 
 def servers(spark: SparkSession) -> DataFrame:
-    rows = [(lang, *s, *TIERS[s[2]]) for lang, s in SERVERS.items()]
-    return spark.createDataFrame(rows, "language string, server string, command string, tier string, init_s int, request_s int, cross_file_s int, shutdown_s int")
+    rows = [(lang, server, command, list(args), version, install, tier, *TIERS[tier]) for lang, (server, command, args, version, install, tier) in SERVERS.items()]
+    return spark.createDataFrame(rows, "language string, server string, command string, args array<string>, version_arg string, install string, tier string, init_s int, request_s int, cross_file_s int, shutdown_s int")
 
 
 def node_types(spark: SparkSession) -> DataFrame:
-    rows = [(lang, k, *x.split()) for lang, v in NODE_TYPES.items() for k, x in enumerate(v.split(", "))]
-    return spark.createDataFrame(rows, "language string, ord int, category string, node_type string")
+    rows = [(lang, k, *x) for lang, v in NODE_TYPES.items() for k, x in enumerate(v)]
+    return spark.createDataFrame(rows, "language string, ord int, category string, node_type string, example string")
+
+
+def syntax_supported(language: str) -> bool:
+    """Whether syntax nodes of a language are known."""
+    return language in NODE_TYPES
 
 
 def profiles(spark: SparkSession) -> DataFrame:
