@@ -71,32 +71,40 @@ def without_type_parameters(name: Column) -> Column:
     return F.trim(F.split_part(F.split_part(name, F.lit("("), F.lit(1)), F.lit("<"), F.lit(1)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def location(text: Column) -> Column:
     """struct<file, line, column, error> of file:line[:column], both from 1."""
-    t = F.trim(text)
-    windows = t.rlike(r"^[A-Za-z]:.")
-    head = F.when(windows, F.substring(t, 1, 2)).otherwise("")
-    rest = F.when(windows, F.substring(t, 3, 1 << 30)).otherwise(t)
-    shape = r"^(?s)(.*?):(-|[0-9])(.*)$"
-    found = rest.rlike(shape)
-    file = F.concat(head, F.regexp_extract(rest, shape, 1))
-    position = F.concat(F.regexp_extract(rest, shape, 2), F.regexp_extract(rest, shape, 3))
+    shape = r"^(?s)((?:[A-Za-z]:(?=.))?.*?):((?:-|[0-9]).*)$"
     number = lambda c: F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("bigint"))
-    colon = F.locate(":", position)
-    line = number(F.when(colon > 0, F.substring_index(position, ":", 1)).otherwise(position))
-    column = F.when(colon > 0, number(F.substr(position, colon + 1))).otherwise(F.lit(1).cast("bigint"))
     most = (1 << 32) - 1
-    error = (
-        F.when(F.coalesce(t, F.lit("")) == "", "empty")
-        .when(~found, "no position")
-        .when(position.startswith("-"), "negative line")
-        .when(line.isNull() | (line > most), "bad line")
-        .when(column.isNull() | (column > most), "bad column")
-        .when(line == 0, "line from 1")
-        .when(column == 0, "column from 1")
-    )
-    ok = error.isNull()
-    return F.struct(F.when(ok, file).alias("file"), F.when(ok, line).cast("int").alias("line"), F.when(ok, column).cast("int").alias("column"), error.alias("error"))
+
+    def read(t: Column) -> Column:
+        found = t.rlike(shape)
+        return _let(F.struct(F.regexp_extract(t, shape, 1).alias("file"), F.regexp_extract(t, shape, 2).alias("at")), lambda x: numbered(t, found, x["file"], x["at"]))
+
+    def numbered(t: Column, found: Column, file: Column, at: Column) -> Column:
+        colon = F.locate(":", at)
+        line = number(F.when(colon > 0, F.substring_index(at, ":", 1)).otherwise(at))
+        column = F.when(colon > 0, number(F.substr(at, colon + 1))).otherwise(F.lit(1).cast("bigint"))
+        return _let(F.struct(line.alias("line"), column.alias("column")), lambda n: checked(t, found, file, at, n["line"], n["column"]))
+
+    def checked(t: Column, found: Column, file: Column, at: Column, line: Column, column: Column) -> Column:
+        error = (
+            F.when(F.coalesce(t, F.lit("")) == "", "empty")
+            .when(~found, "no position")
+            .when(at.startswith("-"), "negative line")
+            .when(line.isNull() | (line > most), "bad line")
+            .when(column.isNull() | (column > most), "bad column")
+            .when(line == 0, "line from 1")
+            .when(column == 0, "column from 1")
+        )
+        return _let(error, lambda e: F.struct(F.when(e.isNull(), file).alias("file"), F.when(e.isNull(), line).cast("int").alias("line"), F.when(e.isNull(), column).cast("int").alias("column"), e.alias("error")))
+
+    return _let(F.trim(text), read)
 
 
 def position_valid(n_lines: Column, line_bytes: Column, line: Column, column: Column) -> Column:

@@ -21,8 +21,12 @@ def filtered(diagnostics: DataFrame, severities: str | None = None, source: str
 
 
 def latest(published: DataFrame) -> DataFrame:
-    """Per file what was published last; a publication replaces all before it."""
-    return published.groupBy("file").agg(F.max(F.struct("seq", "severity", "message", "source")).alias("d")).select("file", "d.*")
+    """Per file all diagnostics of its last publication, which replaces those before it.
+
+    published: file, seq, message and more, a row for each diagnostic; an empty publication is a row without a message, and clears its file.
+    """
+    last = published.groupBy("file").agg(F.max("seq").alias("seq"))
+    return published.join(last, ["file", "seq"]).where("message is not null")
 
 
 def numbered_actions(actions: DataFrame, kind: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewalk.functions import symbols as S
 from lorewalk.operators.search import first
+from lorewalk.plans.tables import cut
 
 
 def find_references(refs: DataFrame, target: Column, *, root: str | None = None, limit: int = 0) -> DataFrame:
@@ -44,13 +45,35 @@ def impact(refs: DataFrame, target: Column) -> DataFrame:
     return refs.where(target).groupBy("file").agg(F.count(F.lit(1)).alias("count"), places.alias("locations"))
 
 
+def impact_totals(refs: DataFrame, target: Column) -> DataFrame:
+    """How many references a target has, and in how many files."""
+    return refs.where(target).agg(F.count(F.lit(1)).alias("total"), F.count_distinct("file").alias("files"))
+
+
+def find_implementations(edges: DataFrame, target: Column, *columns: str, limit: int = 0) -> DataFrame:
+    """A target's implementations, each once; those outside the project too."""
+    return first(edges.where(target).select(*columns).distinct(), limit, *columns)
+
+
+def types(edges: DataFrame, of: Column, direction: str) -> DataFrame:
+    """Supertypes or subtypes, one step away, over edges(sub, super); of: a condition on the other end."""
+    return edges.where(of).select("sub", "super").distinct() if direction == "super" else edges.where(of).select("sub").distinct()
+
+
 def reached(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node and the least number of steps (1 to depth) from start(node) over edges(caller, callee) backwards; depth bounds cycles."""
+    """node and the least number of steps (1 to depth) from start(node) over edges(caller, callee) backwards; depth bounds cycles.
+
+    Each step's nodes are written before the next step, so plans don't grow with depth; it ends early when nothing new is met.
+    """
     back = edges.select(F.col("callee").alias("from"), F.col("caller").alias("to"))
-    seen = start.select("node", F.lit(0).alias("steps"))
-    edge = start.select("node")
+    edge = start.select("node").distinct()
+    seen = edge.withColumn("steps", F.lit(0))
     for k in range(1, depth + 1):
         met = edge.join(back, edge["node"] == back["from"]).select(F.col("to").alias("node")).distinct()
         edge = met.join(seen.select("node"), "node", "left_anti")
+        if k < depth:
+            edge = cut(edge)
+            if edge.isEmpty():
+                break
         seen = seen.unionByName(edge.select("node", F.lit(k).alias("steps")))
     return seen.where("steps > 0")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from lorewalk import dims
 from lorewalk.functions import symbols as S
+from lorewalk.plans.tables import cut
 
-#: Levels that paths are computed for.
+#: Levels that a path without a depth is looked for in.
 DEEPEST = 10
+#: Levels that are joined in one plan; deeper trees are written level by level, so that plans stay short.
+LEVELS = 3
 
 
 def overload_index(group: list[str], order: str = "ord") -> Column:
@@ -23,19 +26,25 @@ def suffixed(base: Column, index: Column) -> Column:
     return F.when(index.isNotNull(), F.concat(base, F.lit("["), index.cast("string"), F.lit("]"))).otherwise(base)
 
 
-def with_paths(symbols: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """symbols with overload_idx, base_path and name_path.
+def with_paths(symbols: DataFrame, deepest: int | None = None) -> DataFrame:
+    """symbols with overload_idx, base_path and name_path, at every level.
 
     A child's path continues its parent's base path, which carries no index.
-    Level after level joins its parents on their id; levels are few.
+    Level after level joins its parents on their id.  deepest: the deepest level, if it is known.
     """
+    if deepest is None:
+        deepest = symbols.agg(F.max("depth").alias("d")).first()["d"] or 0
     numbered = symbols.withColumn("overload_idx", overload_index(["parent_id", "name"]).cast("int"))
+    if deepest > LEVELS:
+        numbered = cut(numbered)
     level = numbered.where("depth = 0").withColumn("base_path", F.col("name"))
     out = level
     for depth in range(1, deepest + 1):
         above = level.select(F.col("sym_id").alias("parent_id"), F.col("base_path").alias("above"))
-        level = numbered.where(F.col("depth") == depth).join(above, "parent_id").withColumn("base_path", F.concat_ws("/", "above", "name")).drop("above")
-        out = out.unionByName(level.select(*out.columns))
+        level = numbered.where(F.col("depth") == depth).join(above, "parent_id").withColumn("base_path", F.concat_ws("/", "above", "name")).select(*out.columns)
+        if deepest > LEVELS:
+            level = cut(level)
+        out = out.unionByName(level)
     return out.withColumn("name_path", suffixed(F.col("base_path"), F.col("overload_idx")))
 
 
@@ -102,19 +111,27 @@ def enclosing(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.groupBy("pos_id").agg(F.min_by("name", "ord").alias("name"))
 
 
-def innermost(positions: DataFrame, symbols: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """Each position with the symbol reached by taking, level by level, the first sibling that holds it."""
+def innermost(positions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Each position with the symbol reached by taking, level by level, the first sibling that holds it, to any depth.
+
+    The symbols that hold a position are folded in the order of their levels.
+    """
     s = symbols.select("file", F.col("line").alias("first_line"), "end_line", "ord", "name", "sym_id", "parent_id", "depth")
     holds = (F.col("line") >= F.col("first_line")) & (F.col("end_line").isNull() | (F.col("line") <= F.col("end_line")))
-    met = positions.join(s, "file").where(holds).select("pos_id", "sym_id", "parent_id", "name", "depth", "ord")
-    pick = lambda rows: rows.groupBy("pos_id").agg(F.min_by(F.struct("sym_id", "name"), "ord").alias("s")).select("pos_id", F.col("s.sym_id").alias("sym_id"), F.col("s.name").alias("name"))
-    level = pick(met.where("depth = 0"))
-    out = level.withColumn("depth", F.lit(0))
-    for depth in range(1, deepest + 1):
-        below = met.where(F.col("depth") == depth).select("pos_id", "parent_id", "sym_id", "name", "ord")
-        level = pick(below.join(level.select("pos_id", F.col("sym_id").alias("parent_id")), ["pos_id", "parent_id"]))
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out.groupBy("pos_id").agg(F.max_by("name", "depth").alias("name"))
+    met = positions.join(s, "file").where(holds).groupBy("pos_id").agg(F.sort_array(F.collect_list(F.struct("depth", "ord", "sym_id", "parent_id", "name"))).alias("all"))
+    start = F.struct(F.lit(-1).alias("depth"), F.lit(None).cast(symbols.schema["sym_id"].dataType).alias("sym_id"), F.lit(None).cast("string").alias("name"))
+    below = lambda at, x: (x["depth"] == at["depth"] + 1) & ((x["depth"] == 0) | (x["parent_id"] == at["sym_id"]))
+    reached = F.aggregate("all", start, lambda at, x: F.when(below(at, x), F.struct(x["depth"].alias("depth"), x["sym_id"].alias("sym_id"), x["name"].alias("name"))).otherwise(at))
+    return met.select("pos_id", reached["name"].alias("name")).where("name is not null")
+
+
+def at_positions(positions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """pos_id and target_id: the symbol whose name stands at a position (pos_id, file, line, column), else the innermost whose lines hold it."""
+    s = symbols.select("file", F.col("line").alias("first_line"), F.col("column").alias("first_column"), "end_line", "name", "depth", "ord", "sym_id")
+    exact = (F.col("line") == F.col("first_line")) & F.col("column").between(F.col("first_column"), F.col("first_column") + F.length("name"))
+    inside = (F.col("line") >= F.col("first_line")) & (F.col("end_line").isNull() | (F.col("line") <= F.col("end_line")))
+    met = positions.join(s, "file").where(exact | inside)
+    return met.groupBy("pos_id").agg(F.min_by("sym_id", F.struct(~exact, -F.col("depth"), "ord")).alias("target_id"))
 
 
 def nested(symbols: DataFrame, deepest: int) -> DataFrame:

@@ -8,6 +8,7 @@ Every answer is a DataFrame; `response` turns a bounded one into a JSON object.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lorewalk import dims
 from lorewalk.functions import symbols as S
 from lorewalk.functions import text as X
 from lorewalk.operators import ast, batch, diagnostics, edits, graph, search, symbols
+from lorewalk.sources import files, syntax
 
 TABLES = {
     "files": "file, language, size, content",
@@ -35,10 +37,15 @@ TABLES = {
     "folding_ranges": "file, start_line, end_line, kind",
     "selection_ranges": "file, ord, level, start_line, start_char, end_line, end_char",
     "code_lenses": "file, start_line, title, command",
+    "rename_targets": "target_id, placeholder",
     "ast_nodes": "file, node_id, parent_id, node_type, start_line, end_line, start_column, end_column, text",
 }
 
 
+class Unsupported(ValueError):
+    """A feature that a language's server lacks; the message says what to do instead."""
+
+
 class Project:
     def __init__(self, spark: SparkSession, facts: dict[str, DataFrame], root: str = ""):
         unknown = facts.keys() - TABLES.keys()
@@ -55,23 +62,32 @@ class Project:
             raise ValueError(f"{location!r}: {p.error}")
         return p.file, p.line, p.column
 
-    def target(self, location: str) -> DataFrame:
-        """target_id of the symbol at a position: the one whose name begins there, else the innermost whose lines hold it."""
+    def _asked(self, location: str, feature: str) -> tuple[str, int, int]:
+        """The position of a question, if its file's language answers the feature."""
         file, line, column = self._position(location)
-        here = self["symbols"].where(F.col("file") == file)
-        exact = (F.col("line") == line) & (F.col("column") <= column) & (column <= F.col("column") + F.length("name"))
-        inside = F.col("line").between(0, line) & (F.coalesce("end_line", F.lit(1 << 30)) >= line)
-        order = (~exact, F.desc("depth"), "ord")
-        return here.where(exact | inside).orderBy(*order).limit(1).select(F.col("sym_id").alias("target_id"))
+        self._gate(file, feature)
+        return file, line, column
+
+    def _gate(self, file: str, feature: str) -> None:
+        ext = file.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+        language = next((i for i, _, e, *_ in dims.LANGUAGES if ext in e.split()), "unknown")
+        if not self.supported(language, feature):
+            raise Unsupported(dims.unsupported_message(language, feature))
+
+    def target(self, location: str) -> DataFrame:
+        """target_id of the symbol at a position: the one whose name stands there, else the innermost whose lines hold it."""
+        at = self.spark.createDataFrame([(0, *self._position(location))], "pos_id int, file string, line int, column int")
+        return symbols.at_positions(F.broadcast(at), self["symbols"]).select("target_id")
 
-    def _about(self, table: str, location: str, key: str = "target_id") -> DataFrame:
+    def _about(self, table: str, location: str, key: str = "target_id", feature: str | None = None) -> DataFrame:
+        if feature:
+            self._asked(location, feature)
         target = self.target(location)
         return self[table].join(F.broadcast(target), self[table][key] == target["target_id"], "left_semi")
 
     def supported(self, language: str, feature: str) -> bool:
         """Whether a feature is answered for a language at all."""
-        level, other = dims.SUPPORT.get(language, (dims.OTHER_SUPPORT, {}))
-        return other.get(feature, level) != "none"
+        return dims.support_level(language, feature) != "none"
 
     # Symbols
 
@@ -101,22 +117,22 @@ class Project:
         return graph.best_definition(self._about("defs", location)).select("file", "line", "column")
 
     def goto_type_definition(self, location: str) -> DataFrame:
-        return graph.first_of(self._about("type_defs", location), "target_id", "file", "line", "column").drop("target_id")
+        return graph.first_of(self._about("type_defs", location, feature="goto_type_definition"), "target_id", "file", "line", "column").drop("target_id")
 
     def find_implementations(self, location: str, limit: int = dims.LIMITS["impl"]) -> DataFrame:
-        return search.first(self._about("impl_edges", location).select("file", "line", "column"), limit, "file", "line", "column")
+        return graph.find_implementations(self._about("impl_edges", location, feature="find_implementations"), F.lit(True), "file", "line", "column", limit=limit)
 
     def calls(self, location: str, direction: str, limit: int = dims.LIMITS["calls"]) -> DataFrame:
         """Symbols that call the one at a position (incoming) or that it calls (outgoing), with the first place of each call."""
         own, other = ("callee_id", "caller_id") if direction == "incoming" else ("caller_id", "callee_id")
-        first = graph.first_of(self._about("call_edges", location, own), other, "site_file", "site_line", "site_column")
+        first = graph.first_of(self._about("call_edges", location, own, f"{direction}_calls"), other, "site_file", "site_line", "site_column")
         s = self["symbols"].select(F.col("sym_id").alias(other), "name", "kind", "file", "line", "column")
         return search.first(first.join(s, other).drop(other), limit, "file", "line", "column")
 
     def types(self, location: str, direction: str) -> DataFrame:
         """Supertypes or subtypes of the type at a position, one step away."""
         own, other = ("sub_id", "super_id") if direction == "super" else ("super_id", "sub_id")
-        e = self._about("type_edges", location, own).select(F.col(other).alias("sym_id")).distinct()
+        e = self._about("type_edges", location, own, "type_hierarchy").select(F.col(other).alias("sym_id")).distinct()
         return self["symbols"].join(e, "sym_id", "left_semi").select("name", "kind", "file", "line", "column")
 
     def impact(self, location: str, depth: int = 1) -> DataFrame:
@@ -136,6 +152,7 @@ class Project:
         return self._about("signatures", location).select("ord", "label", "parameters")
 
     def inlay_hints(self, file: str, first_line: int, last_line: int) -> DataFrame:
+        self._gate(file, "inlay_hints")
         return self["inlay_hints"].where((F.col("file") == file) & F.col("line").between(first_line, last_line))
 
     def of_file(self, table: str, file: str) -> DataFrame:
@@ -153,8 +170,14 @@ class Project:
         return search.search_text(files, pattern, under=path, limit=limit, **options)
 
     def search_ast(self, pattern: str, language: str, limit: int = dims.LIMITS["search"]) -> DataFrame:
-        of = self["files"].where(F.col("language") == language).select("file")
-        return ast.search_ast(self["ast_nodes"].join(of, "file", "left_semi"), pattern, limit)
+        """Matches in a language's files: in the project's nodes if it has some, else by parsing the files."""
+        try:
+            of = self["files"].where(F.col("language") == language)
+            if "ast_nodes" in self.facts:
+                return ast.search_ast(self["ast_nodes"].join(of.select("file"), "file", "left_semi"), pattern, limit)
+            return ast.search_files(of, pattern, language, limit)
+        except ValueError as e:
+            raise ValueError(ast.query_error(language, str(e))) from None
 
     def node_types(self, language: str) -> DataFrame:
         return dims.node_types(self.spark).where(F.col("language") == language).orderBy("ord")
@@ -166,25 +189,34 @@ class Project:
         return d.withColumn("severity", X.severity_name(F.col("severity")))
 
     def code_actions(self, location: str, kind: str | None = None) -> DataFrame:
-        file, line, column = self._position(location)
+        file, line, column = self._asked(location, "code_actions")
         return diagnostics.numbered_actions(self["code_actions"].where((F.col("file") == file) & (F.col("line") == line)), kind)
 
     def apply_action(self, location: str, *, index: int = 0, preferred: bool = False, kind: str | None = None) -> DataFrame:
         """file and content after the edits of the chosen action; nothing is written."""
         chosen = diagnostics.selected_action(self.code_actions(location, kind), preferred=preferred, index=index).select("action_id")
-        e = self["edits"].join(chosen, "action_id", "left_semi").join(self["files"].select("file", "content"), "file")
-        starts = edits.line_starts(F.col("content"))
-        place = lambda line, char: (F.element_at(starts, F.col(line) + 1) + F.col(char)).cast("int")
-        held = e.select("file", "content", F.struct(place("start_line", "start_char").alias("start"), place("end_line", "end_char").alias("end"), "new_text").alias("e"))
-        return held.groupBy("file", "content").agg(F.collect_list("e").alias("e")).select("file", edits.apply(F.col("content"), F.col("e")).alias("content"))
+        return edits.applied(self["edits"].join(chosen, "action_id", "left_semi").drop("action_id"), self["files"])
 
     # Edits
 
+    def name_at(self, location: str) -> str | None:
+        """The name to rename at a position: what the server says it is, else that of the symbol there, else the one in its hover text."""
+        target = F.broadcast(self.target(location))
+        s = self["symbols"].select(F.col("sym_id").alias("target_id"), F.col("name").alias("symbol"))
+        held = target.join(s, "target_id", "left")
+        for table, column in (("rename_targets", "placeholder"), ("hovers", "name")):
+            if table in self.facts:
+                held = held.join(self[table].select("target_id", F.col(column).alias(table)), "target_id", "left")
+        names = [c for c in ("rename_targets", "symbol", "hovers") if c in held.columns]
+        got = held.select(F.coalesce(*names).alias("name")).take(1)
+        return got[0].name if got else None
+
     def rename_plan(self, location: str, new: str) -> DataFrame:
-        names = self.target(location).join(self["symbols"], F.col("target_id") == F.col("sym_id")).select("name").take(1)
-        if not names:
+        self._asked(location, "rename")
+        name = self.name_at(location)
+        if not name:
             raise ValueError(f"no symbol at {location}")
-        return edits.rename_plan(self._about("refs", location), names[0].name, new)
+        return edits.rename_plan(self._about("refs", location), name, new)
 
     def _content(self, file: str, content: Column) -> DataFrame:
         f = self["files"].where(F.col("file") == file)
@@ -210,33 +242,43 @@ class Project:
     def edit_symbol(self, file: str, path: str, text: str) -> DataFrame:
         """The content with a symbol's lines replaced."""
         s = self._symbol(file, path)
-        lines = F.split("content", "\n")
-        last = s.end_line or s.line
-        return self._content(file, F.array_join(F.concat(F.slice(lines, 1, s.line - 1), F.array(F.lit(text)), F.slice(lines, last + 1, F.size(lines))), "\n"))
+        return self._content(file, edits.in_symbol(F.col("content"), F.lit(s.line), F.lit(s.end_line).cast("int"), F.lit(text)))
 
     # Batches and status
 
     def run_batch(self, lines: DataFrame) -> DataFrame:
-        """index, command, result (sorted JSON rows) and success of many commands at once: one join per kind of command, not one job per command."""
-        c = batch.parsed(lines).persist()
-        s = self["symbols"]
-        row = lambda *cols: F.to_json(F.struct(*cols))
-        at = c.join(s.select(F.col("file"), F.col("line"), F.col("sym_id")), ["file", "line"])
-        answers = [c.where("command = 'find_symbol'").join(s, "file").select("index", row(s["name"], s["kind"], s["line"]).alias("result"))]
-        for command, table in (("refs", "refs"), ("def", "defs"), ("typedef", "type_defs"), ("impl", "impl_edges")):
+        """index, command, success, result (sorted JSON rows) and error of many commands at once: one join per kind of command, not one job per command."""
+        c = batch.gated(batch.parsed(lines), self["files"])
+        s, asked = self["symbols"], c.where("error is null")
+        row = lambda *cols: F.to_json(F.struct(*cols)).alias("result")
+        of = lambda command: asked.where(F.col("command") == command)
+        found = symbols.at_positions(asked.where("line is not null").select(F.col("index").alias("pos_id"), "file", "line", "column"), s)
+        at = asked.select("index", "command", "new_name").join(found, F.col("index") == F.col("pos_id"))
+        place = [F.col("file"), F.col("line"), F.col("column")]
+        answers = {"find_symbol": of("find_symbol").select("index", "file").join(s.where("depth = 0"), "file").select("index", row("name", "kind", *place))}
+
+        def about(command: str, rows: DataFrame, *columns: Column | str, key: str = "target_id") -> None:
+            answers[command] = at.where(F.col("command") == command).join(rows, F.col("target_id") == F.col(key)).select("index", row(*columns))
+
+        if "refs" in self.facts:
+            refs = self["refs"].where(S.own(F.col("file"), self.root)) if self.root else self["refs"]
+            about("find_refs", refs.withColumnRenamed("target_id", "of"), *place, key="of")
+            per = refs.groupBy(F.col("target_id").alias("of"), "file").agg(F.count(F.lit(1)).alias("edit_count"))
+            about("rename", per, "file", "edit_count", key="of")
+        for command, table, best in (("find_def", "defs", graph.best_definition), ("find_typedef", "type_defs", None), ("find_impl", "impl_edges", lambda x: x)):
             if table in self.facts:
-                t = self[table].select("target_id", F.col("file").alias("f"), F.col("line").alias("l"), F.col("column").alias("k"))
-                answers.append(at.where(F.col("command") == command).join(t, F.col("sym_id") == F.col("target_id")).select("index", row(F.col("f").alias("file"), F.col("l").alias("line"), F.col("k").alias("column")).alias("result")))
+                rows = best(self[table]) if best else graph.first_of(self[table], "target_id", "file", "line", "column")
+                about(command, rows.withColumnRenamed("target_id", "of"), *place, key="of")
         if "hovers" in self.facts:
-            answers.append(at.where("command = 'hover'").join(self["hovers"], F.col("sym_id") == F.col("target_id")).select("index", row("content").alias("result")))
-        if "diagnostics" in self.facts:
-            d = self["diagnostics"].select("file", "severity", "message")
-            answers.append(c.where("command = 'diagnostics'").join(d, "file").select("index", row("severity", "message").alias("result")))
+            about("hover", self["hovers"].withColumnRenamed("target_id", "of"), "content", key="of")
         if "call_edges" in self.facts:
-            e = self["call_edges"].join(s.select(F.col("sym_id").alias("caller_id"), F.col("name").alias("caller")), "caller_id").join(s.select(F.col("sym_id").alias("callee_id"), F.col("name").alias("callee")), "callee_id")
-            answers.append(at.where("command = 'incoming_calls'").join(e, F.col("sym_id") == F.col("callee_id")).select("index", row(F.col("caller").alias("name")).alias("result")))
-            answers.append(at.where("command = 'outgoing_calls'").join(e, F.col("sym_id") == F.col("caller_id")).select("index", row(F.col("callee").alias("name")).alias("result")))
-        return batch.answered(c, *answers)
+            for direction, own, other in (("calls_incoming", "callee_id", "caller_id"), ("calls_outgoing", "caller_id", "callee_id")):
+                ends = self["call_edges"].select(F.col(own).alias("of"), F.col(other).alias("sym_id")).distinct()
+                about(direction, ends.join(s.select("sym_id", "name", *place), "sym_id"), "name", *place, key="of")
+        if "diagnostics" in self.facts:
+            d = self["diagnostics"].select("file", "severity", "message", "line", "column").withColumn("severity", X.severity_name(F.col("severity")))
+            answers["diagnostics"] = of("diagnostics").select("index", "file").join(d, "file").select("index", row("message", "severity", "line", "column"))
+        return batch.answered(c, answers)
 
     def status(self) -> DataFrame:
         """Files and bytes of each language."""
@@ -246,9 +288,32 @@ class Project:
         """Servers of all languages with whether their command is among the installed ones (command), and the features that they lack."""
         lacking = dims.capabilities(self.spark).where("level = 'none'").groupBy("language").agg(F.sort_array(F.collect_list("feature")).alias("limited"))
         s = dims.servers(self.spark).join(installed.select("command", F.lit(True).alias("installed")).distinct(), "command", "left").join(lacking, "language", "left")
-        out = s.select("language", "server", "command", "tier", F.coalesce("installed", F.lit(False)).alias("installed"), "limited")
+        out = s.select("language", "server", "command", "tier", F.coalesce("installed", F.lit(False)).alias("installed"), "install", "limited")
         return (out.where("not installed") if missing_only else out).orderBy("language")
 
+    def entries(self) -> DataFrame:
+        """What shows a server the project, for each of its languages: a manifest in the root, else the first source file."""
+        return files.project_entries(self["files"])
+
+
+def counted(doctor: DataFrame) -> DataFrame:
+    """How many of doctor's servers are installed and missing."""
+    return doctor.agg(F.count_if("installed").alias("installed"), F.count_if(~F.col("installed")).alias("missing"))
+
+
+def register(spark: SparkSession) -> None:
+    """Gives SQL the table function ast_query(content, pattern, language): a row for each match."""
+
+    @F.udtf(returnType="start_line int, end_line int, start_column int, end_column int, text string, captures array<struct<name: string, text: string>>")
+    class AstQuery:
+        def eval(self, content: str, pattern: str, language: str) -> Iterator[tuple]:
+            if content:
+                query = ast.parse(ast.normalized(pattern))
+                for r in ast.found("", syntax.tree(content, language), query):
+                    yield r[1:]
+
+    spark.udtf.register("ast_query", AstQuery)
+
 
 def response(rows: DataFrame, name: str = "rows", most: int = 1000) -> str:
     """A JSON object of up to `most` rows: success, count and the rows themselves, without nulls."""

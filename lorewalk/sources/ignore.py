@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lorewalk import dims
 
+#: The ignore files of folders, and the folder that holds a project's own.
+IGNORE_FILE, PROJECT_FOLDER = ".gitignore", ".lorewalk"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -86,3 +89,18 @@ def ignored(path: Column, rules: list[Rule], *, show_hidden: bool = False) -> Co
         decided = F.when(hit, F.lit(not r.lets_in)).otherwise(decided)
     out = by_name(path) | decided
     return out if show_hidden else out | hidden(path)
+
+
+def is_ignored(path: str, rules: list[Rule], *, folder: bool = False, show_hidden: bool = False) -> bool:
+    """The same of one path, on the driver; a folder that is ignored need not be entered."""
+    parts = path.split("/")
+    names = [n for n in dims.IGNORED_NAMES if not n.startswith("*")]
+    if any(x in names or x.endswith(tuple(n[1:] for n in dims.IGNORED_NAMES if n.startswith("*"))) for x in parts):
+        return True
+    if not show_hidden and any(x.startswith(".") and x not in (".", "..") for x in parts):
+        return True
+    decided = False
+    for r in rules:
+        if re.match(r.pattern + ("/" if r.folders_only else "(?:/|$)"), path + "/" * folder):
+            decided = not r.lets_in
+    return decided

@@ -1,7 +1,9 @@
 """Language-server messages, dumped as JSON, read into fact tables.
 
-Wire positions count from 0; facts count lines and columns from 1, except where a
-table keeps wire positions (edits, hints, folding and selection ranges).  A result
+Wire positions count from 0, in UTF-16 units; facts count lines and columns from 1,
+except where a table keeps wire positions (edits, hints, folding and selection
+ranges).  Columns of facts are UTF-16 units too until `in_code_points` turns them into
+code points, which needs the lines' text.  A result
 may have several shapes; each is tried with its own schema.  Only the nested symbol
 tree needs Python, as a tree has no Spark type.
 """
@@ -33,7 +35,7 @@ def frames(raw: bytes) -> list[str]:
         if not sizes or head + 4 + int(sizes[0]) > len(raw):
             break
         at = head + 4 + int(sizes[0])
-        out.append(raw[head + 4 : at].decode())
+        out.append(raw[head + 4 : at].decode(errors="replace"))
     return out
 
 
@@ -95,11 +97,30 @@ def locations(results: DataFrame, key: str = "target_id") -> DataFrame:
     )
 
 
+def in_code_points(rows: DataFrame, files: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """rows with columns (line, column: both from 1) in code points in place of UTF-16 units; files: file, content."""
+    held = rows.join(files.select("file", F.split("content", "\n").alias("lines__")), "file", "left")
+    for line, column in columns or (("line", "column"),):
+        text = F.try_element_at("lines__", F.greatest(F.col(line), F.lit(1)))
+        held = held.withColumn(column, F.when(text.isNull(), F.col(column)).otherwise(X.code_points(text, F.col(column) - 1) + 1).cast("int"))
+    return held.select(*rows.columns)
+
+
+_EDIT = f"array<struct<range: {_RANGE}, newText: string>>"
+_EDITS = f"struct<changes: map<string, {_EDIT}>, documentChanges: array<struct<textDocument: struct<uri: string>, edits: {_EDIT}>>>"
+
+
+def file_changes(results: DataFrame, key: str = "action_id") -> DataFrame:
+    """key, file and edit_count: of changes if there are any, else of documentChanges; files without edits count 0."""
+    held = results.select(key, F.from_json("result", _EDITS).alias("r"))
+    by_uri = F.transform(F.map_entries("r.changes"), lambda e: F.struct(e["key"].alias("uri"), F.size(e["value"]).alias("n")))
+    listed = F.transform(F.filter("r.documentChanges", lambda d: d["textDocument"]["uri"].isNotNull() & d["edits"].isNotNull()), lambda d: F.struct(d["textDocument"]["uri"].alias("uri"), F.size(d["edits"]).alias("n")))
+    return held.select(key, F.explode(F.coalesce(by_uri, listed)).alias("c")).select(key, S.uri_to_path(F.col("c.uri")).alias("file"), F.col("c.n").cast("long").alias("edit_count"))
+
+
 def workspace_edits(results: DataFrame, key: str = "action_id") -> DataFrame:
     """key, file and edits, from changes and from documentChanges together."""
-    edit = f"array<struct<range: {_RANGE}, newText: string>>"
-    shape = f"struct<changes: map<string, {edit}>, documentChanges: array<struct<textDocument: struct<uri: string>, edits: {edit}>>>"
-    held = results.select(key, F.from_json("result", shape).alias("r"))
+    held = results.select(key, F.from_json("result", _EDITS).alias("r"))
     changes = held.select(key, F.explode("r.changes").alias("uri", "edits"))
     documents = held.select(key, F.explode("r.documentChanges").alias("d")).select(key, F.col("d.textDocument.uri").alias("uri"), F.col("d.edits").alias("edits"))
     each = changes.unionByName(documents).select(key, "uri", F.explode("edits").alias("e"))
@@ -117,25 +138,35 @@ def signatures(results: DataFrame, key: str = "target_id") -> DataFrame:
 
     def text(p: Column) -> Column:  # [start, end) of the signature's label, or a text
         pair = F.from_json(p["label"], "array<int>")
-        inside = F.substring(F.col("s.label"), pair[0] + 1, pair[1] - pair[0])
+        begin, end = (X.code_points(F.col("s.label"), pair[k]) for k in (0, 1))
+        inside = F.substring(F.col("s.label"), begin + 1, end - begin)
         return F.when(p["label"].rlike(r"^\[\d+,\d+\]$"), inside).otherwise(p["label"])
 
     return each.select(key, "ord", F.col("s.label").alias("label"), F.transform(F.coalesce("s.parameters", F.array().cast("array<struct<label:string>>")), text).alias("parameters"), "active_signature", "active_parameter")
 
 
-def diagnostics(published: DataFrame) -> DataFrame:
-    """Diagnostics of publishDiagnostics notifications (seq, params); without a severity they are errors."""
+def publications(published: DataFrame) -> DataFrame:
+    """seq, file and diagnostics (an array, maybe empty) of publishDiagnostics notifications (seq, params); without a severity they are errors."""
     related = f"array<struct<location: struct<uri: string, range: {_RANGE}>, message: string>>"
     shape = f"struct<uri: string, diagnostics: array<struct<range: {_RANGE}, severity: int, message: string, code: string, source: string, tags: array<int>, relatedInformation: {related}>>>"
-    each = published.select("seq", F.from_json("params", shape).alias("p")).select("seq", F.col("p.uri").alias("uri"), F.explode("p.diagnostics").alias("d"))
-    at = F.col("d.range")
-    tags = F.filter(F.transform(F.coalesce("d.tags", F.array().cast("array<int>")), X.tag_name), lambda t: t.isNotNull())
-    severity = F.when(F.coalesce("d.severity", F.lit(1)).between(1, 3), F.coalesce("d.severity", F.lit(1))).otherwise(4)
-    return each.select(
-        "seq", S.uri_to_path(F.col("uri")).alias("file"), severity.alias("severity"), "d.message", "d.code", "d.source", tags.alias("tags"),
-        (at["start"]["line"] + 1).alias("line"), (at["start"]["character"] + 1).alias("column"), (at["end"]["line"] + 1).alias("end_line"), (at["end"]["character"] + 1).alias("end_column"),
-        F.transform(F.coalesce("d.relatedInformation", F.array().cast(related)), lambda r: F.struct(S.uri_to_path(r["location"]["uri"]).alias("file"), r["message"].alias("message"))).alias("related"),
-    )
+
+    def one(d: Column) -> Column:
+        at, severity = d["range"], F.coalesce(d["severity"], F.lit(1))
+        tags = F.filter(F.transform(F.coalesce(d["tags"], F.array().cast("array<int>")), X.tag_name), lambda t: t.isNotNull())
+        about = F.transform(F.coalesce(d["relatedInformation"], F.array().cast(related)), lambda r: F.struct(S.uri_to_path(r["location"]["uri"]).alias("file"), r["message"].alias("message")))
+        return F.struct(
+            F.when(severity.between(1, 3), severity).otherwise(4).alias("severity"), d["message"].alias("message"), d["code"].alias("code"), d["source"].alias("source"), tags.alias("tags"),
+            (at["start"]["line"] + 1).alias("line"), (at["start"]["character"] + 1).alias("column"), (at["end"]["line"] + 1).alias("end_line"), (at["end"]["character"] + 1).alias("end_column"),
+            about.alias("related"),
+        )
+
+    p = published.select("seq", F.from_json("params", shape).alias("p")).where("p.uri is not null and p.diagnostics is not null")
+    return p.select("seq", S.uri_to_path(F.col("p.uri")).alias("file"), F.transform("p.diagnostics", one).alias("diagnostics"))
+
+
+def diagnostics(published: DataFrame) -> DataFrame:
+    """A row for each diagnostic of publishDiagnostics notifications (seq, params), and one without a message for an empty publication."""
+    return publications(published).select("seq", "file", F.explode_outer("diagnostics").alias("d")).select("seq", "file", "d.*")
 
 
 def code_actions(results: DataFrame) -> DataFrame:
@@ -159,11 +190,11 @@ def folding_ranges(results: DataFrame) -> DataFrame:
     return each.select("file", F.col("f.startLine").alias("start_line"), F.col("f.endLine").alias("end_line"), F.col("f.startCharacter").alias("start_char"), F.col("f.endCharacter").alias("end_char"), X.folding_kind(F.col("f.kind")).alias("kind"), F.col("f.collapsedText").alias("collapsed_text"))
 
 
-def selection_ranges(results: DataFrame, deepest: int = 32) -> DataFrame:
-    """file, ord (of the position), level (from the innermost) and range; parents are followed so many levels up."""
+def selection_ranges(results: DataFrame) -> DataFrame:
+    """file, ord (of the position), level (from the innermost) and range, up to the outermost one."""
     level = results.select("file", F.posexplode(F.from_json("result", "array<string>")).alias("ord", "x")).withColumn("level", F.lit(0))
     chain = F.aggregate(
-        F.sequence(F.lit(1), F.lit(deepest - 1)),
+        F.sequence(F.lit(0), F.regexp_count("x", F.lit(r'"parent"'))),
         F.array(F.col("x")),
         lambda held, _: F.when(F.get_json_object(F.element_at(held, -1), "$.parent").isNotNull(), F.concat(held, F.array(F.get_json_object(F.element_at(held, -1), "$.parent")))).otherwise(held),
     )
@@ -199,7 +230,8 @@ def hierarchy(results: DataFrame, key: str = "target_id") -> DataFrame:
 
 def hovers(results: DataFrame, key: str = "target_id") -> DataFrame:
     """key, content and name of hover answers."""
-    held = results.select(key, X.hover_content(F.get_json_object("result", "$.contents")).alias("content"))
+    contents = F.to_json(F.try_variant_get(F.try_parse_json(F.col("result")), "$.contents", "variant"))
+    held = results.select(key, X.hover_content(contents).alias("content"))
     return held.where("content is not null").withColumn("name", X.hover_name(F.col("content")))
 
 
@@ -208,6 +240,6 @@ def rename_targets(results: DataFrame, files: DataFrame) -> DataFrame:
     at = F.coalesce(F.from_json(F.get_json_object("result", "$.range"), _RANGE), F.from_json("result", _RANGE))
     held = results.withColumn("at", at).join(files.select("file", "content"), "file", "left")
     line = F.get(F.split("content", "\r?\n"), F.col("at.start.line"))
-    cut = F.substring(line, F.col("at.start.character") + 1, F.col("at.end.character") - F.col("at.start.character"))
-    placeholder = F.coalesce(F.get_json_object("result", "$.placeholder"), F.when(F.get_json_object("result", "$.defaultBehavior") == "true", "").otherwise(cut))
+    begin, end = (X.code_points(line, F.col(f"at.{side}.character")) for side in ("start", "end"))
+    placeholder = F.coalesce(F.get_json_object("result", "$.placeholder"), F.when(F.get_json_object("result", "$.defaultBehavior") == "true", "").otherwise(F.nullif(F.substring(line, begin + 1, end - begin), F.lit(""))))
     return held.select("target_id", placeholder.alias("placeholder")).where("placeholder is not null")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewalk.functions import text as X
+
 #: Failures in a row after which a server is started anew; minutes after which a project is idle.
 FAILURES, IDLE = 3, "30 minutes"
 
@@ -20,9 +22,14 @@ FAILURES, IDLE = 3, "30 minutes"
 # Latest diagnostics
 
 
-def latest_stream(published: DataFrame) -> DataFrame:
-    """Per file the diagnostics published last; for update or complete mode."""
-    return published.groupBy("file").agg(F.max(F.struct("seq", "severity", "message", "source")).alias("d")).select("file", "d.*")
+def latest_stream(publications: DataFrame) -> DataFrame:
+    """file, seq and diagnostics of each file's last publication (file, seq, diagnostics: an array), for update or complete mode."""
+    return publications.groupBy("file").agg(F.max("seq").alias("seq"), F.max_by("diagnostics", "seq").alias("diagnostics"))
+
+
+def published(latest: DataFrame) -> DataFrame:
+    """A row for each diagnostic of publications (file, seq, diagnostics); empty ones give none."""
+    return latest.select("file", "seq", F.explode("diagnostics").alias("d")).select("file", "seq", "d.*")
 
 
 # Document versions
@@ -75,18 +82,42 @@ def correlated(requests: DataFrame, responses: DataFrame, within: str = "120 sec
     return q.join(a, on, "left").select("id", "asked_at", "answered_at", "result", F.col("rid").isNull().alias("cancelled"))
 
 
+def terminated(requests: DataFrame, ends: DataFrame) -> DataFrame:
+    """id and error (code and message) of requests (server, id, ts) that were open when their server ended (server, ts, expected), each at the first end after it.
+
+    requests that were answered before have answered_at.  An unexpected end is told from a cancellation.
+    """
+    e = ends.select("server", F.col("ts").alias("ended_at"), "expected")
+    open_ = (F.col("ts") <= F.col("ended_at")) & (F.col("answered_at").isNull() | (F.col("answered_at") > F.col("ended_at")))
+    met = requests.join(e, "server").where(open_).groupBy("id", "server").agg(F.min(F.struct("ended_at", "expected")).alias("e"))
+    code = F.when(F.col("e.expected"), -32800).otherwise(-32099)
+    message = F.when(F.col("e.expected"), "request cancelled").otherwise(F.concat("server", F.lit(" ended unexpectedly")))
+    return met.select("id", code.alias("code"), message.alias("message"))
+
+
 # Health
 
 
+def _islands(checks: DataFrame) -> DataFrame:
+    """Checks with the number of healthy ones up to them, which failures in a row share."""
+    return checks.withColumn("island", F.sum(F.col("healthy").cast("long")).over(W.partitionBy("server").orderBy("seq")))
+
+
 def failures(checks: DataFrame) -> DataFrame:
     """server, longest (failures in a row) and restarted. checks: server, seq, healthy."""
-    w = W.partitionBy("server").orderBy("seq")
-    run = checks.withColumn("island", F.sum(F.col("healthy").cast("long")).over(w)).groupBy("server", "island").agg(F.count_if(~F.col("healthy")).alias("n"))
+    run = _islands(checks).groupBy("server", "island").agg(F.count_if(~F.col("healthy")).alias("n"))
     return run.groupBy("server").agg(F.max("n").alias("longest"), (F.max("n") >= FAILURES).alias("restarted"))
 
 
-def failures_stream(checks: DataFrame) -> DataFrame:
+def restarts(checks: DataFrame) -> DataFrame:
     """server and seq of each check that makes the failures in a row reach FAILURES, after which they count anew."""
+    bad = _islands(checks).where(~F.col("healthy"))
+    nth = F.row_number().over(W.partitionBy("server", "island").orderBy("seq"))
+    return bad.withColumn("nth", nth).where(F.col("nth") % FAILURES == 0).select("server", "seq")
+
+
+def failures_stream(checks: DataFrame) -> DataFrame:
+    """restarts for a stream whose rows come in the order of seq."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (run,) = state.get if state.exists else (0,)
@@ -111,6 +142,21 @@ def sessions(requests: DataFrame) -> DataFrame:
     return requests.groupBy("project", F.session_window("ts", IDLE).alias("s")).agg(F.count(F.lit(1)).alias("requests")).select("project", F.col("s.start").alias("begun"), F.col("s.end").alias("ended"), "requests")
 
 
+# Caches
+
+
+def cache_hits(reads: DataFrame) -> DataFrame:
+    """key, hits, misses and hit_rate: a read (key, seq, hash) hits if the key's content is that of the read before it."""
+    same = F.col("hash").eqNullSafe(F.lag("hash").over(W.partitionBy("key").orderBy("seq"))) & F.lag("seq").over(W.partitionBy("key").orderBy("seq")).isNotNull()
+    c = reads.withColumn("hit", same).groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return c.withColumn("hit_rate", X.hit_rate(F.col("hits"), F.col("misses")))
+
+
+def victim(entries: DataFrame, *by: str) -> DataFrame:
+    """The entry (key, last_accessed) that a full cache gives up: the one longest unread, of several the smallest key."""
+    return entries.groupBy(*by).agg(F.min_by("key", F.struct("last_accessed", "key")).alias("key"))
+
+
 # Indexing
 
 

@@ -90,20 +90,20 @@ def test_overload_suffix(spark):
 
 
 LOCATIONS = [
-    ("src/main.rs:10:5", ("src/main.rs", 10, 5)),
-    ("src/main.rs:10", ("src/main.rs", 10, 1)),
-    ("/Users/test/src/main.rs:10:5", ("/Users/test/src/main.rs", 10, 5)),
-    ("/tmp/한글_테스트.rs:10:5", ("/tmp/한글_테스트.rs", 10, 5)),
-    (r"C:\Users\test\file.rs:10:5", (r"C:\Users\test\file.rs", 10, 5)),
+    ("lib/deep/tree.go:12:7", ("lib/deep/tree.go", 12, 7)),
+    ("lib/deep/tree.go:12", ("lib/deep/tree.go", 12, 1)),
+    ("/home/me/x y.py:3:4", ("/home/me/x y.py", 3, 4)),
+    ("/données/ключ_é.kt:8:2", ("/données/ключ_é.kt", 8, 2)),
+    (r"D:\work\app.cs:5:9", (r"D:\work\app.cs", 5, 9)),
     ("  a:b:3 ", ("a:b", 3, 1)),
-    ("invalid", None),
-    ("file.rs", None),
-    ("file.rs:0:1", None),
+    ("nothing", None),
+    ("tree.go", None),
+    ("tree.go:0:4", None),
     ("", None),
-    ("file.rs:-5:1", None),
-    ("file.rs:5:-1", None),
-    ("file.rs:5:x", None),
-    ("file.rs:5:0", None),
+    ("tree.go:-2:1", None),
+    ("tree.go:2:-1", None),
+    ("tree.go:2:x", None),
+    ("tree.go:2:0", None),
 ]
 
 
@@ -112,7 +112,7 @@ def test_locations(spark):
     for (text, wanted), r in zip(LOCATIONS, got, strict=True):
         assert ((r.file, r.line, r.column) if r.error is None else None) == wanted, text
     by = dict(zip([x for x, _ in LOCATIONS], got, strict=True))
-    assert "negative" in by["file.rs:-5:1"].error
+    assert "negative" in by["tree.go:-2:1"].error
 
 
 def test_positions(spark):
@@ -123,12 +123,12 @@ def test_positions(spark):
 
 
 def test_uris(spark):
-    paths = ["/test/file.rs", "/path with spaces/file.rs", "/tmp/한글_테스트.rs", "/a~b+c*d%e"]
+    paths = ["/src/one.go", "/my files/two.go", "/données/ключ.go", "/a~b+c*d%e"]
     uris = column(spark, paths, (["string"], S.path_to_uri(F.col("c0"))))
-    assert uris[1] == "file:///path%20with%20spaces/file.rs" and uris[3] == "file:///a~b%2Bc%2Ad%25e"
+    assert uris[1] == "file:///my%20files/two.go" and uris[3] == "file:///a~b%2Bc%2Ad%25e"
     assert column(spark, uris, (["string"], S.uri_to_path(F.col("c0")))) == paths
-    decoded = column(spark, ["hello%20world", "test%2Fpath", "normal", "a+b", "100%zz!", "%C3%A9", "50%"], (["string"], S.percent_decoded(F.col("c0"))))
-    assert decoded == ["hello world", "test/path", "normal", "a+b", "100%!", "é", "50%"]
+    decoded = column(spark, ["one%20two", "up%2Fdown", "plain", "a+b", "100%zz!", "%C3%A9", "50%"], (["string"], S.percent_decoded(F.col("c0"))))
+    assert decoded == ["one two", "up/down", "plain", "a+b", "100%!", "é", "50%"]
 
 
 def test_relative_and_own_paths(spark):
@@ -138,13 +138,13 @@ def test_relative_and_own_paths(spark):
 
 
 HOVERS = [
-    ("```kotlin\nfun toDomain(): Order\n```", "toDomain"),
-    ("```rust\npub fn new() -> Self\n```", "new"),
-    ("def my_function(x: int) -> str", "my_function"),
-    ("public class MyClass", "MyClass"),
+    ("```kotlin\nsuspend fun loadAll(): List<Row>\n```", "loadAll"),
+    ("```rust\npub fn open(path: &Path) -> File\n```", "open"),
+    ("def tidy_up(rows: list) -> None", "tidy_up"),
+    ("public abstract class Ledger", "Ledger"),
     ("", None),
-    ("```rust\nmy_crate::models\n```\n\n```rust\npub struct LocationData {\n```", "LocationData"),
-    ("```rust\nmy_crate::run\n```\n\n```rust\npub(crate) async fn process_data(x: u8)\n```", "process_data"),
+    ("```rust\nstore::pages\n```\n\n```rust\npub struct PageTable {\n```", "PageTable"),
+    ("```rust\nstore::run\n```\n\n```rust\npub(crate) async fn flush_pages(n: u8)\n```", "flush_pages"),
 ]
 
 

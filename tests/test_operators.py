@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewalk.functions import symbols as S
-from lorewalk.operators import ast, batch, diagnostics, edits, graph, search, symbols
-from lorewalk.sources import files, ignore, wire
+from lorewalk.functions import text as X
+from lorewalk.operators import batch, diagnostics, edits, graph, search, symbols
+from lorewalk.sources import files, ignore, rpc, wire
 from lorewalk.streaming import folds
 
 
@@ -70,7 +71,7 @@ def test_enclosing_and_innermost(spark):
     p = spark.createDataFrame([(1, "f", 4), (2, "f", 8), (3, "f", 99), (4, "f", 11)], "pos_id int, file string, line int")
     assert {r.pos_id: r.name for r in symbols.enclosing(p, s.where("depth = 0")).collect()} == {1: "A", 2: "A", 3: "B"}
     # where siblings overlap the first one that holds the line is taken
-    assert {r.pos_id: r.name for r in symbols.innermost(p, s, 2).collect()} == {1: "m", 2: "n", 3: "B"}
+    assert {r.pos_id: r.name for r in symbols.innermost(p, s).collect()} == {1: "m", 2: "n", 3: "B"}
 
 
 def test_search(spark):
@@ -81,7 +82,8 @@ def test_search(spark):
     assert search.search_text(f, "the", language="rust").count() == 1 and search.search_text(f, "e", limit=1).count() == 1
     around = search.search_with_context(f, "The", 1).first()
     assert around.context_before == ["é the cat\r"] and around.context_after == [""]
-    for bad in ("  ", "(?=x)", r"(a)\1"):
+    assert search.pattern(r"a\\1 \(?=") == r"a\\1 \(?="
+    for bad in ("  ", "(?=x)", r"(a)\1", r"\\\1"):
         with pytest.raises(ValueError):
             search.pattern(bad)
     assert search.file_type("TSX") == "ts"
@@ -89,6 +91,23 @@ def test_search(spark):
         search.file_type("cobol")
 
 
+def test_phrases_of_any_length(spark):
+    f = spark.createDataFrame([("x", "one two three\nfour five six"), ("y", "two three"), ("z", None)], "file string, content string")
+    p = spark.createDataFrame([(1, "two three"), (2, "three four five six"), (3, "one two three four five six"), (4, " "), (5, None), (6, "two"), (7, "three")], "item_id long, text string")
+    want = [("x", 1), ("x", 2), ("x", 3), ("x", 6), ("x", 7), ("y", 1), ("y", 6), ("y", 7)]
+    assert sorted((r.file, r.item_id) for r in search.search_many(f, p).collect()) == want
+    assert sorted((r.file, r.item_id) for r in search.search_many(f, p, most=2).collect()) == want
+
+
+def test_deep_trees(spark):
+    rows = [(i, i - 1 if i else None, f"n{i}", "class", i) for i in range(14)]
+    df = spark.createDataFrame(rows, "sym_id long, parent_id long, name string, kind string, depth int").withColumn("ord", F.col("sym_id"))
+    got = {r.sym_id: r.name_path for r in symbols.with_paths(df).collect()}
+    assert len(got) == 14 and got[13] == "/".join(f"n{i}" for i in range(14))
+    s = df.withColumns({"file": F.lit("f"), "line": F.lit(1), "end_line": F.lit(9)})
+    assert symbols.innermost(spark.createDataFrame([(1, "f", 5)], "pos_id int, file string, line int"), s).first().name == "n13"
+
+
 def test_ignore_rules(spark):
     paths = ["main.rs", "debug.log", "target/app", "a/keep.txt", "a/x.txt", "node_modules/x.js", ".hidden/y", "main.test.rs", "b/c/d.md", "deep/b/c/d.md"]
     rules = ignore.compile_rules("# note\n*.txt\n!keep.txt\n*.test.rs\n/b/**/d.md\n")
@@ -106,6 +125,14 @@ def test_reading_a_directory(spark, tmp_path):
     assert got["src/a.rs"].language == "rust" and got["src/b.py"].content == "é = 1" and got["bin.dat"].error == "binary" and got["bad.txt"].error == "not UTF-8"
     assert sorted(r.language for r in files.project_languages(files.read_files(spark, str(tmp_path))).collect()) == ["python", "rust"]
     assert {r.error for r in files.read_files(spark, str(tmp_path), most=3).collect()} >= {"too large"}
+    assert [r.file for r in files.read_files(spark, str(tmp_path), extensions=["rs"]).collect()] == ["src/a.rs"]
+    for name, content in {".gitignore": "*.tmp\ndrop/\n", "a.tmp": "x", "drop/deep/x.rs": "x", "sub/.gitignore": "!keep.tmp\nno.rs\n", "sub/keep.tmp": "x", "sub/no.rs": "x", "no.rs": "x", ".lorewalk/ignore": "bad.txt\n", "Cargo.toml": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    read = files.read_files(spark, str(tmp_path))
+    assert sorted(r.file for r in read.collect()) == ["Cargo.toml", "bin.dat", "no.rs", "src/a.rs", "src/b.py", "sub/keep.tmp"]
+    assert {r.language: r.file for r in files.project_entries(read).collect()} == {"rust": "Cargo.toml", "python": "src/b.py", "toml": "Cargo.toml"}
+    assert files.read_files(spark, str(tmp_path), extensions=["none"]).count() == 0
 
 
 def test_graph(spark):
@@ -126,7 +153,8 @@ def test_diagnostics(spark):
     text = lambda df: sorted(r.message for r in df.collect())
     assert text(diagnostics.filtered(d, "e")) == ["a", "c"] and text(diagnostics.filtered(d, "nonsense")) == []
     assert text(diagnostics.filtered(d, "w,hint", "lint")) == ["b", "d"] and len(text(diagnostics.filtered(d))) == 4
-    assert {(r.file, r.message) for r in diagnostics.latest(d).collect()} == {("f", "d"), ("g", "c")}
+    more = spark.createDataFrame([("f", 1, "e", "lint", 4), ("h", 1, "x", "lint", 5), ("h", None, None, None, 6)], d.schema)
+    assert {(r.file, r.message) for r in diagnostics.latest(d.union(more)).collect()} == {("f", "d"), ("f", "e"), ("g", "c")}
     a = spark.createDataFrame([("f", 1, "quickfix", False), ("f", 2, "refactor.extract", False), ("f", 3, "refactor", True)], "file string, ord int, kind string, is_preferred boolean")
     n = diagnostics.numbered_actions(a, "REFACTOR")
     assert [(r.ord, r["index"]) for r in n.orderBy("ord").collect()] == [(2, 0), (3, 1)]
@@ -148,34 +176,17 @@ def test_edits(spark):
 
 
 def test_batches(spark):
-    lines = [(0, '{"command":"refs","file":"a","line":1}'), (1, ""), (2, "junk"), (3, '{"command":"nonsense"}'), (4, '{"command":"hover","file":"b"}')]
+    lines = [(0, '{"command":"find_refs","location":"a:1"}'), (1, ""), (2, "junk"), (3, '{"command":"nonsense"}'), (4, '{"command":"find_symbol","file":"b"}'), (5, '{"command":"hover"}'), (6, '{"command":"hover","location":"a"}')]
     c = batch.parsed(spark.createDataFrame(lines, "index int, value string"))
-    assert [r["index"] for r in c.orderBy("index").collect()] == [0, 4]
+    assert [(r["index"], r.file, r.line, r.error) for r in c.orderBy("index").collect()] == [(0, "a", 1, None), (4, "b", None, None), (6, None, None, "no position")]
     answers = spark.createDataFrame([(0, "x"), (0, "y")], "index int, result string")
-    done = batch.answered(c, answers)
-    assert {r["index"]: r.success for r in done.collect()} == {0: True, 4: False}
-    assert tuple(batch.summary(done).first()) == (2, 1, 1)
+    done = batch.answered(c, {"find_refs": answers, "hover": answers.limit(0)})
+    assert {r["index"]: (r.success, r.result) for r in done.collect()} == {0: (True, ["x", "y"]), 4: (False, None), 6: (False, None)}
+    assert batch.answered(c, {"find_refs": answers.limit(0)}).where("index = 0").first().result == []
+    assert tuple(batch.summary(done).first()) == (3, 1, 2)
     assert batch.until_failure(done).count() == 2
 
 
-PY = "import os\n\nclass A:\n    def f(self):\n        return 1\n\n    def g(self):\n        x = lambda: 2\n"
-
-
-def test_syntax_search(spark):
-    nodes = ast.python_nodes(spark.createDataFrame([("a.py", PY), ("bad.py", "def (")], "file string, content string")).cache()
-    assert ast.search_ast(nodes, "function_definition").count() == 2
-    rows = ast.search_ast(nodes, "(class_definition (function_definition) @method) @class").orderBy("start_line").collect()
-    assert len(rows) == 2 and all(r.start_line == 3 and [c.name for c in r.captures] == ["class", "method"] for r in rows)
-    assert ast.search_ast(nodes, '(function_definition) @f (#match? @f "lambda")').first().start_line == 7
-    assert ast.search_ast(nodes, "[(import_statement) (lambda)] @x").count() == 2
-    assert ast.search_ast(nodes, "(_ (return_statement) @r)").first().text == "return 1"
-    html = ast.html_nodes(spark.createDataFrame([("p", '<ul><li>é</li>\n<li><br>b</ul><script>"</p>"</script>')], "file string, content string"))
-    got = [(r.node_type, r.start_line, r.start_column, r.text) for r in html.orderBy("node_id").collect()]
-    assert got[0][0] == "ul" and got[1] == ("li", 1, 4, "<li>é</li>") and got[2][:3] == ("li", 2, 0) and [x[0] for x in got] == ["ul", "li", "li", "br", "script"]
-    with pytest.raises(ValueError):
-        ast.parse("(a (b)")
-
-
 def test_wire_shapes(spark):
     symbol = {"name": "A", "kind": 5, "range": {"start": {"line": 0, "character": 0}, "end": {"line": 9, "character": 1}}, "selectionRange": {"start": {"line": 1, "character": 6}, "end": {"line": 1, "character": 7}}, "children": [{"name": "f", "kind": 12, "range": {"start": {"line": 2, "character": 0}, "end": {"line": 3, "character": 0}}, "selectionRange": {"start": {"line": 2, "character": 4}, "end": {"line": 2, "character": 5}}}]}
     flat = {"name": "g", "kind": 99, "containerName": "", "location": {"uri": "file:///a.rs", "range": {"start": {"line": 4, "character": 0}, "end": {"line": 4, "character": 3}}}}
@@ -207,6 +218,10 @@ def test_wire_shapes(spark):
     assert [(r.label, r.kind) for r in h] == [(": u8", "type"), ("x", None)]
     folds_ = [{"startLine": 1, "endLine": 4, "kind": "imports"}, {"startLine": 6, "endLine": 7, "kind": "odd"}]
     assert [r.kind for r in wire.folding_ranges(spark.createDataFrame([("f", json.dumps(folds_))], "file string, result string")).orderBy("start_line").collect()] == ["imports", "other"]
+    chain = {"range": place}
+    for _ in range(39):
+        chain = {"range": place, "parent": chain}
+    assert wire.selection_ranges(spark.createDataFrame([("f", json.dumps([chain]))], "file string, result string")).count() == 40
     nested = [{"range": place, "parent": {"range": symbol["range"]}}]
     assert [(r.ord, r.level, r.end_line) for r in wire.selection_ranges(spark.createDataFrame([("f", json.dumps(nested))], "file string, result string")).orderBy("level").collect()] == [(0, 0, 3), (0, 1, 9)]
 
@@ -215,6 +230,29 @@ def test_frames():
     a, b = b'{"id":1}', '{"x":"é"}'.encode()
     raw = b"".join(b"Content-Length: %d\r\nOther: x\r\n\r\n%s" % (len(x), x) for x in (a, b))
     assert wire.frames(raw + b"Content-Length: 9\r\n\r\n{") == [a.decode(), b.decode()]
+    assert wire.frames(b"Content-Length: 2\r\n\r\n\xff{") == ["\ufffd{"]
+
+
+def test_lines_in_and_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"id":1,"method":"m","params":[1]}\n\n{"id":"x"}\nnot json\n')
+    want = [("1", "m", "[1]", None), ('"x"', None, None, "invalid_request"), (None, None, None, "parse_error")]
+    got = rpc.requests(rpc.lines(spark, str(tmp_path / "in")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    stream = rpc.requests(rpc.lines(spark, str(tmp_path / "in"), stream=True))
+    answers = stream.select("id", F.when(F.col("error").isNull(), F.lit('"ok"')).alias("result"), "error", F.lit(None).cast("string").alias("detail"))
+    rpc.write_lines(rpc.responses(answers), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    lines = sorted(r.value for r in rpc.lines(spark, str(tmp_path / "out")).collect())
+    assert [json.loads(x) for x in lines] == sorted([json.loads(x) for x in lines], key=json.dumps) and {json.loads(x).get("result") for x in lines} == {"ok", None}
+    assert {json.loads(x)["error"]["code"] for x in lines if "error" in x} == {-32700, -32600}
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "c.bin").write_bytes(b"Content-Length: 8\r\n\r\n" + b'{"id":1}')
+    assert [(r.nth, r.kind) for r in rpc.kinds(rpc.captured(spark, str(tmp_path / "raw"))).collect()] == [(0, "response")]
+
+
+def test_code_points_and_units(spark):
+    df = spark.createDataFrame([("let 😀name",)], "t string")
+    assert df.select(X.code_points(F.col("t"), F.lit(6)).alias("v")).first().v == 5 and df.select(X.utf16_units(F.col("t"), F.lit(5)).alias("v")).first().v == 6
 
 
 # Streams
@@ -240,16 +278,23 @@ def test_versions_stream(spark, tmp_path):
 
 
 def test_failures_stream(spark, tmp_path):
-    rows = [("s", i, i % 5 == 0, int(i > 6)) for i in range(1, 14)]
+    rows = [("s", i, i % 5 == 0, int(i > 6)) for i in range(1, 14)] + [("t", i, False, int(i > 6)) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "server string, seq long, healthy boolean, part int")
-    assert streamed(spark, tmp_path, df, folds.failures_stream, "append") == [("s", 3), ("s", 8), ("s", 13)]
-    assert folds.failures(df).first().longest == 4
+    want = sorted(map(tuple, folds.restarts(df).collect()))
+    assert want == [("s", 3), ("s", 8), ("s", 13), ("t", 3), ("t", 6)]
+    assert streamed(spark, tmp_path, df, folds.failures_stream, "append") == want
+    assert {r.server: r.longest for r in folds.failures(df).collect()} == {"s": 4, "t": 8}
 
 
 def test_latest_stream(spark, tmp_path):
-    rows = [("f", 1, 1, "a", "x", 0), ("g", 2, 2, "b", "y", 0), ("f", 3, 1, "c", "z", 1)]
-    df = spark.createDataFrame(rows, "file string, seq long, severity int, message string, source string, part int")
-    assert streamed(spark, tmp_path, df, folds.latest_stream, "complete") == sorted(map(tuple, diagnostics.latest(df).collect()))
+    one = lambda *m: [(1, x) for x in m]
+    rows = [("f", 1, one("a", "b"), 0), ("g", 2, one("c"), 0), ("h", 3, one("d"), 0), ("f", 4, one("e", "f"), 1), ("g", 5, [], 1)]
+    df = spark.createDataFrame(rows, "file string, seq long, diagnostics array<struct<severity: int, message: string>>, part int")
+    got = {r[0]: (r[1], [d.message for d in r[2]]) for r in streamed(spark, tmp_path, df, folds.latest_stream, "complete")}
+    assert got == {"f": (4, ["e", "f"]), "g": (5, []), "h": (3, ["d"])}
+    flat = df.select("file", "seq", F.explode_outer("diagnostics").alias("d")).select("file", "seq", "d.*")
+    assert {(r.file, r.message) for r in diagnostics.latest(flat).collect()} == {("f", "e"), ("f", "f"), ("h", "d")}
+    assert {(r.file, r.message) for r in folds.published(folds.latest_stream(df)).collect()} == {("f", "e"), ("f", "f"), ("h", "d")}
 
 
 def test_correlation_and_sessions(spark):

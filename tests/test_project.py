@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from lorewalk.project import Project, response
+from lorewalk.project import Project, Unsupported, counted, register, response
 
 CODE = "class A:\n    def f(self):\n        return g()\n\ndef g():\n    return 1\n"
 
@@ -53,9 +54,14 @@ def test_symbols(project):
 def test_navigation(project):
     assert rows(project.find_references("a.py:5:5"), "file", "line") == [("a.py", 3), ("a.py", 5), ("b.py", 1)]
     assert rows(project.goto_definition("a.py:5"), "file") == [("a.py",)]
-    assert rows(project.goto_type_definition("a.py:1:7"), "line") == [(1,)] and rows(project.find_implementations("a.py:1:7"), "file") == [("b.py",)]
-    assert rows(project.calls("a.py:5:5", "incoming"), "name", "site_line") == [("f", 3)] and rows(project.calls("a.py:2:9", "outgoing"), "name") == [("g",)]
-    assert rows(project.types("a.py:1:7", "sub"), "name") == [("f",)] and rows(project.types("a.py:2:9", "super"), "name") == [("A",)]
+    assert rows(project.goto_type_definition("a.py:1:7"), "line") == [(1,)]
+    for ask in (lambda: project.find_implementations("a.py:1:7"), lambda: project.calls("a.py:5:5", "incoming"), lambda: project.types("a.py:1:7", "sub")):
+        with pytest.raises(Unsupported, match="Python"):
+            ask()
+    rust = Project(project.spark, project.facts | {"symbols": project["symbols"].withColumn("file", F.lit("a.rs"))})
+    assert rows(rust.find_implementations("a.rs:1:7"), "file") == [("b.py",)]
+    assert rows(rust.calls("a.rs:5:5", "incoming"), "name", "site_line") == [("f", 3)] and rows(rust.calls("a.rs:2:9", "outgoing"), "name") == [("g",)]
+    assert rows(rust.types("a.rs:1:7", "sub"), "name") == [("f",)] and rows(rust.types("a.rs:2:9", "super"), "name") == [("A",)]
     assert rows(project.impact("a.py:5:5"), "file", "count") == [("a.py", 2), ("b.py", 1)] and rows(project.impact("a.py:5:5", 2), "name", "steps") == [("f", 1)]
     assert rows(project.hover("a.py:5:5"), "content") == [("def g()",)] and project.signature_help("a.py:5:5").count() == 1
     assert project.inlay_hints("a.py", 0, 9).count() == 1 and project.of_file("folding_ranges", "a.py").count() == 1
@@ -87,11 +93,32 @@ def test_edits(project):
         project.edit_symbol("a.py", "none", "")
 
 
+def test_names_to_rename(project, spark):
+    assert project.name_at("a.py:5:5") == "g" and project.name_at("none.py:1") is None
+    t = spark.createDataFrame([(3, "given")], "target_id long, placeholder string")
+    assert Project(spark, project.facts | {"rename_targets": t}).name_at("a.py:5:5") == "given"
+    unnamed = Project(spark, project.facts | {"symbols": project["symbols"].withColumn("name", F.lit(None).cast("string"))})
+    assert unnamed.name_at("a.py:5") == "g"
+
+
+def test_syntax_search_and_table_function(project, spark):
+    assert rows(project.search_ast("(class_definition (function_definition name: (identifier) @n))", "python"), "text") == [("f",)]
+    with pytest.raises(ValueError, match="class_definition"):
+        project.search_ast("(a", "python")
+    register(spark)
+    got = spark.sql("select q.start_line, q.text from (select 'def f():\n  pass' as c) t, lateral ast_query(t.c, 'function_definition', 'python') q").collect()
+    assert [(r.start_line, r.text) for r in got] == [(1, "def f():\n  pass")]
+
+
 def test_batch_and_status(project, spark):
-    lines = [(0, '{"command":"refs","file":"a.py","line":5}'), (1, '{"command":"hover","file":"a.py","line":1}'), (2, '{"command":"incoming_calls","file":"a.py","line":5}'), (3, '{"command":"diagnostics","file":"a.py"}')]
+    lines = [(0, '{"command":"find_refs","location":"a.py:5"}'), (1, '{"command":"hover","location":"a.py:1"}'), (2, '{"command":"calls_incoming","location":"a.py:5"}'), (3, '{"command":"diagnostics","file":"a.py"}'), (4, '{"command":"rename","location":"a.py:5:5","new_name":"h"}')]
     got = {r["index"]: r for r in project.run_batch(spark.createDataFrame(lines, "index int, value string")).collect()}
-    assert [got[k].success for k in range(4)] == [True, False, True, True] and len(got[0].result) == 3 and json.loads(got[2].result[0]) == {"name": "f"}
-    assert rows(project.status(), "language", "files") == [("python", 2)]
-    d = project.doctor(spark.createDataFrame([("gopls",)], "command string"))
-    assert d.where("installed").count() == 1 and project.doctor(spark.createDataFrame([("gopls",)], "command string"), missing_only=True).count() == 35
+    assert [got[k].success for k in range(5)] == [True, True, False, True, True]
+    assert len(got[0].result) == 3 and got[1].result == [] and "Python" in got[2].error
+    assert [json.loads(x) for x in got[4].result] == [{"file": "a.py", "edit_count": 2}, {"file": "b.py", "edit_count": 1}]
+    assert rows(project.status(), "language", "files") == [("python", 2)] and rows(project.entries(), "file") == [("a.py",)]
+    there = spark.createDataFrame([("gopls",)], "command string")
+    d = project.doctor(there)
+    assert d.where("installed").count() == 1 and project.doctor(there, missing_only=True).count() == 35
+    assert tuple(counted(d).first()) == (1, 35) and tuple(counted(project.doctor(there, missing_only=True)).first()) == (0, 35)
     assert json.loads(response(project.status()))["count"] == 1
