@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewalk import dims
@@ -17,6 +16,7 @@ from lorewalk.functions import symbols as S
 from lorewalk.functions import text as X
 from lorewalk.operators import ast, batch, diagnostics, edits, graph, search, symbols
 from lorewalk.plans import facts
+from lorewalk.sources import files, ignore, syntax
 from lorewalk.streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,19 +115,17 @@ def files_scan(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT file, size FROM files WHERE size <= 2048 AND NOT contains(content, chr(0))")
 def files_size_cap(spark, sf_dir):
-    f = facts.files(spark, sf_dir)
-    return f.where((F.col("size") <= 2048) & ~F.contains("content", F.lit("\0"))).select("file", "size")
+    f = facts.files(spark, sf_dir).select("file", F.col("size").alias("length"), F.col("content").cast("binary").alias("content"))
+    return files.checked(f, most=2048).where("error is null").select("file", "size")
 
 
 @query(f"WITH {FILES} SELECT DISTINCT language FROM files WHERE language IS NOT NULL")
 def languages_distinct(spark, sf_dir):
-    return facts.files(spark, sf_dir).select("language").where("language is not null").distinct()
+    return files.project_languages(facts.files(spark, sf_dir))
 
 
 @query(f"WITH {FILES} SELECT file FROM files WHERE NOT regexp_matches(file, '^src(1|12)/')")
 def files_ignore_rules(spark, sf_dir):
-    from lorewalk.sources import ignore
-
     rules = ignore.compile_rules("src1/\nsrc12/\nsrc13/\n!src13/\n")
     return facts.files(spark, sf_dir).where(~ignore.ignored(F.col("file"), rules)).select("file")
 
@@ -223,13 +221,13 @@ def symbols_file_fallback(spark, sf_dir):
     return symbols.with_file_symbols(d.select(name.alias("file")), some)
 
 
-@query("""WITH s AS (SELECT p_brand AS file, p_size * 10 AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 10 + 25 END AS b, p_partkey AS ord, p_name AS name FROM part WHERE p_partkey % 3 = 0),
+@query("""WITH s AS (SELECT p_brand AS file, p_size * 10 AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 10 + 25 END AS b, p_partkey AS ord, p_name AS name FROM part),
 pos AS (SELECT p_partkey AS pos_id, p_brand AS file, p_size * 10 + 7 AS line FROM part)
 SELECT pos_id, name FROM (SELECT pos_id, name, row_number() OVER (PARTITION BY pos_id ORDER BY ord) AS nth FROM pos JOIN s USING (file) WHERE line >= a AND (b IS NULL OR line <= b)) WHERE nth = 1""")
 def symbol_at_position(spark, sf_dir):
     p = facts.table(spark, sf_dir, "part")
     line = F.col("p_size") * 10
-    s = p.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("file"), line.alias("line"), F.when(F.col("p_partkey") % 7 != 0, line + 25).alias("end_line"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    s = p.select(F.col("p_brand").alias("file"), line.alias("line"), F.when(F.col("p_partkey") % 7 != 0, line + 25).alias("end_line"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
     return symbols.enclosing(p.select(F.col("p_partkey").alias("pos_id"), F.col("p_brand").alias("file"), (line + 7).alias("line")), s)
 
 
@@ -248,9 +246,9 @@ def refs_of_target(spark, sf_dir):
     return graph.find_references(facts.refs(spark, sf_dir), F.col("target_id") == 42)
 
 
-@query(f"WITH {REFS} SELECT file, line, col AS \"column\" FROM refs WHERE target_id < 40 ORDER BY file, line, col LIMIT 500")
+@query(f"WITH {REFS} SELECT file, line, col AS \"column\" FROM refs ORDER BY file, line, col LIMIT 500")
 def refs_limit(spark, sf_dir):
-    return graph.find_references(facts.refs(spark, sf_dir), F.col("target_id") < 40, root="/src", limit=dims.LIMITS["refs"])
+    return graph.find_references(facts.refs(spark, sf_dir), F.lit(True), root="/src", limit=dims.LIMITS["refs"])
 
 
 @query("""WITH x AS (SELECT l_partkey AS target_id, CASE l_linenumber WHEN 1 THEN '/r/node_modules/' WHEN 2 THEN '/r/vendor/' WHEN 3 THEN '/other/' ELSE '/r/src/' END || l_orderkey AS file FROM lineitem)
@@ -279,19 +277,19 @@ def type_definition_first(spark, sf_dir):
 
 @query("SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS implementor FROM lineitem WHERE l_partkey = 42")
 def implementations(spark, sf_dir):
-    return facts.table(spark, sf_dir, "lineitem").where("l_partkey = 42").select(F.col("l_suppkey").alias("implementor")).distinct()
+    edges = facts.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("target_id"), F.col("l_suppkey").alias("implementor"))
+    return graph.find_implementations(edges, F.col("target_id") == 42, "implementor")
 
 
-@query(f"WITH {REFS} SELECT file, count(*) AS count, string_agg(line || ':' || col, ',' ORDER BY line, col) AS locations FROM refs WHERE target_id < 50 GROUP BY file")
+@query(f"WITH {REFS} SELECT file, count(*) AS count, string_agg(line || ':' || col, ',' ORDER BY line, col) AS locations FROM refs GROUP BY file")
 def impact_by_file(spark, sf_dir):
-    i = graph.impact(facts.refs(spark, sf_dir), F.col("target_id") < 50)
+    i = graph.impact(facts.refs(spark, sf_dir), F.lit(True))
     return i.withColumn("locations", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["line"].cast("string"), x["column"].cast("string"))), ","))
 
 
 @query(f"WITH {REFS} SELECT count(*) AS total, count(DISTINCT file) AS files FROM refs WHERE target_id = 42")
 def impact_totals(spark, sf_dir):
-    r = facts.refs(spark, sf_dir).where("target_id = 42")
-    return r.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("file").alias("files"))
+    return graph.impact_totals(facts.refs(spark, sf_dir), F.col("target_id") == 42)
 
 
 @query(f"""WITH {CALLS}, e AS (SELECT caller, callee FROM calls UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
@@ -312,26 +310,28 @@ def calls_outgoing(spark, sf_dir):
     return graph.calls(facts.call_edges(spark, sf_dir), F.col("caller") == "s7", "outgoing")
 
 
-@query("SELECT c_name AS sub, n_name AS super FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _type_edges(spark, sf_dir):
+    """sub and super: customers below nations, nations below regions."""
+    r, n, c = (facts.table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("sub"), F.col("r_name").alias("super"))
+    return up.unionByName(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("sub"), F.col("n_name").alias("super")))
+
+
+@query("SELECT c_name AS sub, n_name AS super FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def supertypes(spark, sf_dir):
-    n = facts.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("super"))
-    c = facts.table(spark, sf_dir, "customer").select(F.col("c_name").alias("sub"), "c_nationkey")
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("sub", "super")
+    return graph.types(_type_edges(spark, sf_dir), F.lit(True), "super")
 
 
 @query("SELECT n_name AS sub FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def subtypes(spark, sf_dir):
-    r = facts.table(spark, sf_dir, "region").where("r_name = 'ASIA'")
-    return facts.table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_name").alias("sub"))
+    return graph.types(_type_edges(spark, sf_dir), F.col("super") == "ASIA", "sub")
 
 
 @query("""WITH e AS (SELECT c_name AS sub, n_name AS super FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT DISTINCT node, steps FROM (SELECT sub AS node, 1 AS steps FROM e WHERE super = 'ASIA' UNION ALL SELECT b.sub, 2 FROM e a JOIN e b ON b.super = a.sub WHERE a.super = 'ASIA')""")
 def type_closure(spark, sf_dir):
-    r, n, c = (facts.table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("caller"), F.col("r_name").alias("callee"))
-    low = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("caller"), F.col("n_name").alias("callee"))
-    return graph.reached(up.unionByName(low), spark.createDataFrame([("ASIA",)], "node string"), 3)
+    edges = _type_edges(spark, sf_dir).select(F.col("sub").alias("caller"), F.col("super").alias("callee"))
+    return graph.reached(edges, spark.createDataFrame([("ASIA",)], "node string"), 3)
 
 
 # Diagnostics and actions ----------------------------------------------------------
@@ -343,11 +343,6 @@ def diagnostics_filter(spark, sf_dir):
     return diagnostics.filtered(d, "error, w, nonsense", "7").select("file", "severity", "source", "seq")
 
 
-@query(f"WITH {DIAGNOSTICS} SELECT file, seq, severity, message, source FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq DESC) AS nth FROM diagnostics) WHERE nth = 1")
-def diagnostics_latest(spark, sf_dir):
-    return diagnostics.latest(facts.diagnostics(spark, sf_dir))
-
-
 @query(f"WITH {DIAGNOSTICS} SELECT CASE severity WHEN 1 THEN 'error' WHEN 2 THEN 'warning' WHEN 3 THEN 'info' ELSE 'hint' END AS severity, count(*) AS n, count(DISTINCT file) AS files FROM diagnostics GROUP BY 1")
 def diagnostics_summary(spark, sf_dir):
     d = facts.diagnostics(spark, sf_dir)
@@ -416,18 +411,20 @@ def batch_summary(spark, sf_dir):
     return batch.summary(e, "user_id")
 
 
-@query("""SELECT event_id AS index, CAST(json_extract_string(props, '$.k') AS INTEGER) AS line FROM events WHERE event_type <> 'view'""")
+@query("""SELECT event_id AS index, CASE WHEN event_type = 'signup' THEN 'hover' ELSE 'find_refs' END AS command, 'a' AS file, CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS line, 1 AS "column" FROM events WHERE event_type <> 'view' AND event_type <> 'click'""")
 def batch_parse(spark, sf_dir):
     e = facts.table(spark, sf_dir, "events")
-    text = F.when(F.col("event_type") == "view", "not json").otherwise(F.concat(F.lit('{"command":"refs","file":"a","line":'), F.get_json_object("props", "$.k"), F.lit("}")))
-    return batch.parsed(e.select(F.col("event_id").alias("index"), text.alias("value"))).select("index", "line")
+    kind = F.col("event_type")
+    place = F.concat(F.lit('"location":"a:'), (F.get_json_object("props", "$.k").cast("int") + 1).cast("string"), F.lit('"}'))
+    text = F.when(kind == "view", "not json").when(kind == "click", '{"command":"find_refs"}').when(kind == "signup", F.concat(F.lit('{"command":"hover",'), place)).otherwise(F.concat(F.lit('{"command":"find_refs",'), place))
+    return batch.parsed(e.select(F.col("event_id").alias("index"), text.alias("value"))).select("index", "command", "file", "line", "column")
 
 
 def _values(rows):
     return ", ".join(str(tuple(r)) for r in rows)
 
 
-_CAPABILITIES = [(lang, f, dims.SUPPORT.get(lang, (dims.OTHER_SUPPORT, {}))[1].get(f, dims.SUPPORT.get(lang, (dims.OTHER_SUPPORT, {}))[0])) for lang in [i for i, *_ in dims.LANGUAGES] + ["unknown"] for f, _, _ in dims.FEATURES]
+_CAPABILITIES = [(lang, f, dims.support_level(lang, f)) for lang in [i for i, *_ in dims.LANGUAGES] + ["unknown"] for f, _, _ in dims.FEATURES]
 
 
 @query(f"""WITH c(language, feature, level) AS (VALUES {_values(_CAPABILITIES)}), asked AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'rust' WHEN 'de' THEN 'kotlin' WHEN 'fr' THEN 'python' ELSE 'php' END AS language, 'rename' AS feature FROM documents)
@@ -451,8 +448,7 @@ def language_by_extension(spark, sf_dir):
     k = F.col("o_orderkey") % 5
     ext = F.when(k == 0, "RS").when(k == 1, "kt").when(k == 2, "hpp").when(k == 3, "txt").otherwise("py")
     f = facts.table(spark, sf_dir, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit("."), ext).alias("file"))
-    met = f.select(S.extension(F.col("file")).alias("ext")).join(dims.extensions(spark), "ext", "left")
-    return met.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    return files.with_language(f).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH p(language, factor) AS (VALUES {_values((i, dims.PROFILES.get(i, dims.OTHER_PROFILE)[0]) for i, *_ in dims.LANGUAGES)}), o(operation, f2) AS (VALUES {_values((n, f) for n, (f, _) in dims.OPERATIONS.items())})
@@ -508,10 +504,15 @@ def idle_projects(spark, sf_dir):
 c AS (SELECT user_id, count(*) FILTER (before = h) AS hits, count(*) FILTER (before IS DISTINCT FROM h) AS misses FROM e GROUP BY user_id)
 SELECT user_id, hits, misses, round(hits / (hits + misses), 6) AS hit_rate FROM c""")
 def cache_stats(spark, sf_dir):
-    e = facts.table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("h"))
-    same = F.col("h").eqNullSafe(F.lag("h").over(W.partitionBy("user_id").orderBy("event_id")))
-    c = e.withColumn("hit", same).groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
-    return c.withColumn("hit_rate", F.round(X.hit_rate(F.col("hits"), F.col("misses")), 6))
+    e = facts.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("hash"))
+    return folds.cache_hits(e).select(F.col("key").alias("user_id"), "hits", "misses", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events),
+r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS nth FROM e WHERE bad) SELECT user_id, event_id FROM r WHERE nth % 3 = 0""")
+def health_restarts(spark, sf_dir):
+    e = facts.table(spark, sf_dir, "events").select(F.col("user_id").alias("server"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("healthy"))
+    return folds.restarts(e).select(F.col("server").alias("user_id"), F.col("seq").alias("event_id"))
 
 
 # Syntax nodes ---------------------------------------------------------------------
@@ -520,13 +521,49 @@ def cache_stats(spark, sf_dir):
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages)
 SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '(?i)<p[ >]')) AS t FROM p) GROUP BY page_id""")
 def ast_tag_search(spark, sf_dir):
-    nodes = ast.html_nodes(facts.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("content")))
-    found = ast.search_ast(nodes, "(p) @match")
+    pages = facts.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("content"))
+    found = ast.search_files(pages, "(p) @match", "html")
     return found.groupBy(F.col("file").cast("bigint").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_METHODS_OF = "m AS (SELECT p_brand AS file, replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_size AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part)"
+
+
+def _code(spark, sf_dir, head: str, method: str) -> DataFrame:
+    """file and content: a class for each brand, with a method for each of its parts."""
+    p = facts.table(spark, sf_dir, "part")
+    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"))
+    text = F.format_string(method, name, F.col("p_size"))
+    held = p.groupBy(F.col("p_brand").alias("file")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("t")))).alias("all"))
+    return held.select("file", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["t"]), "")).alias("content"))
+
+
+_PYTHON = ("class Brand:\n", "    def %s(self):\n        x = %d\n        return x\n")
+
+
+@query(f"WITH {_METHODS_OF} SELECT file, 1 AS start_line, 'c' AS first, name FROM m")
 def ast_captures(spark, sf_dir):
-    nodes = ast.html_nodes(facts.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("content")))
-    found = ast.search_ast(nodes, "(ul (li) @item)")
-    return found.select("file", "start_line", "start_column", F.size("captures").alias("n_captures"))
+    found = ast.search_files(_code(spark, sf_dir, *_PYTHON), "(class_definition (function_definition name: (identifier) @n)) @c", "python")
+    return found.select("file", "start_line", F.col("captures")[0]["name"].alias("first"), F.col("captures")[1]["text"].alias("name"))
+
+
+@query(f"WITH {_METHODS_OF} SELECT file, CAST(nth * 3 AS INTEGER) AS start_line, 8 AS start_column, 'x = ' || size AS text, 'return x' AS \"returns\" FROM m")
+def ast_two_children(spark, sf_dir):
+    found = ast.search_files(_code(spark, sf_dir, *_PYTHON), "(function_definition (assignment) @a (return_statement) @r)", "python")
+    return found.select("file", "start_line", "start_column", "text", F.col("captures")[1]["text"].alias("returns"))
+
+
+@query(f"WITH {_METHODS_OF} SELECT file, name FROM m WHERE starts_with(name, 'red_')")
+def ast_predicate(spark, sf_dir):
+    nodes = syntax.nodes(_code(spark, sf_dir, *_PYTHON), "python")
+    return ast.search_ast(nodes, '((identifier) @name (#match? @name "^red_"))').select("file", F.col("text").alias("name"))
+
+
+@query(f"WITH {_METHODS_OF} SELECT file, CAST(nth + 1 AS INTEGER) AS start_line, CAST(nth + 1 AS INTEGER) AS end_line, 'pub fn ' || name || '(a: &str) -> i32 {{ ' || size || ' }}' AS text, name FROM m")
+def ast_rust_functions(spark, sf_dir):
+    code = _code(spark, sf_dir, "impl Brand { // fn none() {}\n", "    pub fn %s(a: &str) -> i32 { %d }\n")
+    found = ast.search_files(code, "(function_item name: (identifier) @n) @f", "rust")
+    return found.select("file", "start_line", "end_line", "text", F.col("captures")[1]["text"].alias("name"))
+
+
+from lorewalk import catalog_messages, catalog_project  # noqa: E402, F401  (they register their queries here)
