@@ -161,7 +161,7 @@ class Plan:
             F.xxhash64(F.col(text)).alias("tie"),
         ]
         self.sized = cut(docs.select(*self.columns))
-        self.digits = max(1, min(8, len(f"{self.sized.count() // SLICE:x}")))
+        self.digits = max(2, min(8, len(f"{self.sized.count() // SLICE:x}")))
         slices = self.sized.groupBy("source", F.substring("place", 1, self.digits).alias("slice")).agg(F.sum("size").alias("slice_size"))
         slices = slices.withColumn("before", F.sum("slice_size").over(W.partitionBy("source").orderBy("slice")) - F.col("slice_size"))
         sources = _targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, most)
