@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache
 from itertools import batched, chain
 
 import numpy as np
@@ -46,7 +46,7 @@ SETTINGS = {
     "added": {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False},
 }
 #: Words that a worker remembers before it starts again.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Words whose symbols are merged together.
 TOGETHER = 20_000
 
@@ -284,11 +284,6 @@ class Coder:
             yield " ".join(map(self.ids.__getitem__, pieces)), pieces
 
 
-@lru_cache(2)
-def _vocabulary(described: str) -> Vocabulary:
-    return Vocabulary(described)
-
-
 def read_vocabulary(spark: SparkSession, path: str) -> str:
     """The vocabulary file's text; it is read once, on the driver, and its size is that of the file."""
     with open(path, encoding="utf-8") as f:
@@ -312,7 +307,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", id
     schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(n, t) for n, t in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_vocabulary(held.value))
+        coder = Coder(Vocabulary(held.value))
         for batch in batches:
             for part in blocks.pieces(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
@@ -347,7 +342,7 @@ def decode_documents(docs: DataFrame, vocabulary: str, *, ids: str = "ids", deco
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept] + [T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(held.value)
+        v = Vocabulary(held.value)
         for batch in batches:
             texts = [None if x is None else v.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)
