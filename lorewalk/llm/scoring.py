@@ -7,15 +7,17 @@ totals of the words it holds, so no vocabulary is ever gathered in one place.
 
 The model gives a token after its context as
 
-    P(class | context) * P(token | class, context).
-
-The most frequent WORDS tokens are dealt to classes of MEMBERS each, in the order
-of their frequency; both factors are softmaxes whose scores are sums of table rows.
-A row is picked by hashing a feature: the word before (in both), the two words
-before, the second word before (a skip).  All other tokens form one more class; in it
-a token has the share (c + 1) / (n + v + 1) with n and v the class's count and
-number of distinct tokens, and what was never seen is one such token.  The
-probabilities of all tokens and the unseen one add up to one.
+    P(class | context) * P(leaf | class, context) * share of the token in its leaf.
+
+There are CLASSES classes of MEMBERS leaves.  Each of the FREQUENT most frequent tokens
+is a leaf of its own, in the order of their frequency.  All other tokens, seen or not,
+are dealt to the rest of the leaves by a hash; in such a leaf a token has the share
+(c + 1) / (n + v + 1) with n and v the leaf's count and number of distinct tokens,
+and what was never seen is one such token.  The probabilities of all tokens and
+of one unseen token a leaf add up to one.  Both factors are softmaxes over a fixed
+number of scores, which are sums of table rows.  A row is picked by hashing a feature:
+the word before, the two words before, the second word before (a skip); for leaves
+the word before and the skip, each with the class.
 
 Training passes over every training token once, in ROUNDS rounds.  In a round each
 task starts from the same tables, takes AdaGrad steps over its part of the blocks
@@ -24,20 +26,20 @@ Tables have a fixed size, so what is broadcast and returned doesn't grow.
 
 Defined results: null text counts as empty and consists of its end; a null id
 counts as the empty text for the split; repeated rows are documents of their own;
-without training rows every token has probability one in the empty model (N and V
-are 0); an empty table gives an empty result;
+without training rows N and V are 0 and the model knows nothing but its leaves; an empty table gives an empty result;
 doc_id and text alone are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +49,12 @@ from lorewalk.llm.shared import cut
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 MEMBERS, CLASSES = 32, 32
-WORDS = MEMBERS * CLASSES
-#: Bits of a row's number, for classes and for members.
+LEAVES = MEMBERS * CLASSES
+#: Tokens that are leaves of their own; all others share the rest, LEAVES - FREQUENT.
+FREQUENT = 512
+#: Bits of a row's number, for classes and for leaves.
 CLASS_BITS, MEMBER_BITS = 12, 13
-CLASS_FEATURES, MEMBER_FEATURES = 3, 1
+CLASS_FEATURES, MEMBER_FEATURES = 3, 2
 ROUNDS = 2
 #: Tokens of a step, and its size.
 STEP, RATE = 4096, 0.15
@@ -69,14 +73,14 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     hashes: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
-    weight = 0
+    weight, nth = 0, count()
 
     def block() -> pa.RecordBatch:
         flat, n, out = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(held)
         number, words = pd.factorize(flat)
         seen = np.bincount(number[~np.repeat(out, n)], minlength=len(words))
         row = {
-            "block": int.from_bytes(os.urandom(8), "big") >> 1,
+            "block": (TaskContext.get().partitionId() << 32) + next(nth),  # the same when a task is run again
             "doc_id": ids,
             "held_out": out.tolist(),
             "n_tokens": n.tolist(),
@@ -116,63 +120,71 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _shared_leaf(words: np.ndarray) -> np.ndarray:
+    """The leaf that a token which isn't frequent has with others."""
+    return FREQUENT + (blocks.mix(words, 21) % np.uint64(LEAVES - FREQUENT)).astype(np.int64)
+
+
 class Model:
-    """Tables of the two softmaxes; words holds the frequent tokens' hashes in their order, tail the last class's count and number of tokens."""
+    """Tables of the two softmaxes; words holds the frequent tokens' hashes in their order, shared the counts and numbers of distinct tokens of the other leaves."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tail: tuple[int, int]):
-        self.tail = tail
+    def __init__(self, words: np.ndarray, counts: np.ndarray, shared: tuple[np.ndarray, np.ndarray]):
         order = np.argsort(words)
         self.words, self.rank = words[order], order
-        share = np.append(np.add.reduceat(np.append(counts, np.zeros(-len(counts) % MEMBERS)), np.arange(0, max(len(counts), 1), MEMBERS)) if len(counts) else np.zeros(0), tail[0] + 1.0)
-        self.classes = len(share)
-        self.class_bias = np.log(share / share.sum()).astype(np.float32)
-        padded = np.zeros(((self.classes - 1) * MEMBERS), np.float64)
-        padded[: len(counts)] = counts
+        self.n, self.v = (np.concatenate([np.zeros(FREQUENT, np.int64), x]) for x in shared)
+        weight = np.concatenate([counts, np.zeros(FREQUENT - len(counts)), shared[0] + 1.0]).reshape(CLASSES, MEMBERS)
         with np.errstate(divide="ignore"):
-            self.member_bias = np.maximum(np.log(padded), -1e9).astype(np.float32).reshape(-1, MEMBERS) if len(counts) else np.zeros((0, MEMBERS), np.float32)
-        self.class_rows = np.zeros((CLASS_FEATURES << CLASS_BITS, self.classes), np.float32)
+            self.class_bias = np.maximum(np.log(weight.sum(1) / weight.sum()), -1e9).astype(np.float32)
+            self.member_bias = np.maximum(np.log(weight), -1e9).astype(np.float32)
+        self.class_rows = np.zeros((CLASS_FEATURES << CLASS_BITS, CLASSES), np.float32)
         self.member_rows = np.zeros((MEMBER_FEATURES << MEMBER_BITS, MEMBERS), np.float32)
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """Frequent tokens' places in the order, -1 for others."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.rank[at], -1)
+    def leaves(self, words: np.ndarray) -> np.ndarray:
+        """Each token's leaf."""
+        out = _shared_leaf(words)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            known = self.words[at] == words
+            out[known] = self.rank[at[known]]
+        return out
 
 
 class _Slice(NamedTuple):
-    """Some tokens: their places, rows and target of the class softmax, and of those with a place in a class the rows and target of the other."""
+    """Some tokens: their places, and rows and target of either softmax."""
 
     first: int
     last: int
     class_rows: list[np.ndarray]
     target: np.ndarray
-    known: np.ndarray
     member_rows: list[np.ndarray]
     member: np.ndarray
 
 
+def _rows(features: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Table rows of hashed features, each feature in a part of the table of its own."""
+    return [(f >> np.uint64(64 - bits)).astype(np.int64) + (k << bits) for k, f in enumerate(features)]
+
+
 def _slices(model: Model, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[_Slice]:
     """A block's tokens in slices, so that features never exist for a whole block at once."""
-    number = model.numbers(words)
+    leaves = model.leaves(words)
+    one_hash, skip_hash, pair_hash = blocks.mix(words, 1), blocks.mix(words, 4), blocks.mix(words, 2)
+    none = [blocks.mix(np.array([BEFORE]), k)[0] for k in (1, 4, 2)]
+    of_class = blocks.mix(np.arange(CLASSES, dtype=np.uint64), 6)
     starts = np.cumsum(sizes) - sizes
-    class_bits, member_bits = np.uint64(64 - CLASS_BITS), np.uint64(64 - MEMBER_BITS)
     for s in range(0, len(tokens), step):
         e = min(s + step, len(tokens))
-        begin = max(0, s - 2)
-        held = words[tokens[begin:e]]
         at = np.arange(s, e)
         nth = at - starts[np.searchsorted(starts, at, "right") - 1]
-        one, two = (np.where(nth >= k, held[np.maximum(at - k - begin, 0)], BEFORE) for k in (1, 2))
-        features = (blocks.mix(one, 1), blocks.mix(blocks.mix(one, 2) ^ two, 3), blocks.mix(two, 4))
-        class_rows = [(f >> class_bits).astype(np.int64) + (k << CLASS_BITS) for k, f in enumerate(features)]
-        n = number[tokens[s:e]]
-        target = np.where(n >= 0, n // MEMBERS, model.classes - 1)
-        known = np.flatnonzero(n >= 0)
-        of_class = blocks.mix(target[known].astype(np.uint64), 6)
-        member_rows = [(blocks.mix(f[known] ^ of_class, 7 + k) >> member_bits).astype(np.int64) + (k << MEMBER_BITS) for k, f in enumerate((one,))]
-        yield _Slice(s, e, class_rows, target, known, member_rows, n[known] % MEMBERS)
+        before = [tokens[np.maximum(at - k, 0)] for k in (1, 2)]
+        inside = [nth >= k for k in (1, 2)]
+        one = np.where(inside[0], one_hash[before[0]], none[0])
+        skip = np.where(inside[1], skip_hash[before[1]], none[1])
+        pair = np.where(inside[0], pair_hash[before[0]], none[2]) ^ np.where(inside[1], words[before[1]], BEFORE)
+        leaf = leaves[tokens[s:e]]
+        target, member = leaf // MEMBERS, leaf % MEMBERS
+        mine = of_class[target]
+        yield _Slice(s, e, _rows([one, blocks.mix(pair, 3), skip], CLASS_BITS), target, _rows([blocks.mix(one ^ mine, 7), blocks.mix(skip ^ mine, 8)], MEMBER_BITS), member)
 
 
 def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -191,14 +203,13 @@ def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.
 def log_probability(model: Model, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """log10 of each token's probability; totals: training counts of the block's words."""
     out = np.empty(len(tokens))
-    n, v = model.tail
+    leaves = model.leaves(words)
+    share = np.where(leaves < FREQUENT, 1.0, (totals + 1.0) / (model.n[leaves] + model.v[leaves] + 1.0))
     for x in _slices(model, words, tokens, sizes, STEP):
         p = _softmax(model.class_bias, model.class_rows, x.class_rows)
         of = p[np.arange(len(p)), x.target].astype(np.float64)
-        inner = (totals[tokens[x.first : x.last]] + 1.0) / (n + v + 1.0)
-        if len(x.known):
-            p = _softmax(model.member_bias[x.target[x.known]], model.member_rows, x.member_rows)
-            inner[x.known] = p[np.arange(len(p)), x.member]
+        p = _softmax(model.member_bias[x.target], model.member_rows, x.member_rows)
+        inner = p[np.arange(len(p)), x.member] * share[tokens[x.first : x.last]]
         out[x.first : x.last] = np.log10(np.maximum(of, 1e-30)) + np.log10(np.maximum(inner, 1e-30))
     return out
 
@@ -217,7 +228,7 @@ class _Trainer:
         p = _softmax(bias, table, rows)
         p[np.arange(len(p)), target] -= 1
         for r in rows:
-            order = np.argsort(r)
+            order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")  # a feature's rows differ in their low bits
             sorted_rows = r[order]
             begin = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
             gradient = np.add.reduceat(p[order], begin, axis=0)
@@ -230,8 +241,7 @@ class _Trainer:
         m = self.model
         for x in _slices(m, words, tokens, sizes, STEP):
             self._step(0, m.class_bias, x.class_rows, x.target)
-            if len(x.known):
-                self._step(1, m.member_bias[x.target[x.known]], x.member_rows, x.member)
+            self._step(1, m.member_bias[x.target], x.member_rows, x.member)
 
 
 #: Table rows that travel together.
@@ -299,10 +309,26 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     totals = cut(entries.groupBy("word").agg(F.sum("c").alias("total")))
     n, v = (int(x or 0) for x in totals.agg(F.sum("total"), F.count_if(F.col("total") > 0)).first())
     end = int(END.astype(np.int64))
-    frequent = totals.where("total > 0").orderBy(F.desc(F.col("word") == end), F.desc("total"), "word").limit(WORDS).collect()  # WORDS rows at most
+    frequent = totals.where("total > 0").orderBy(F.desc(F.col("word") == end), F.desc("total"), "word").limit(FREQUENT).collect()  # FREQUENT rows at most
     frequent.sort(key=lambda r: (-r["total"], r["word"]))
-    counts = np.array([r["total"] for r in frequent], np.float64)
-    model = Model(np.array([r["word"] for r in frequent], np.int64).astype(np.uint64), counts, (n - int(counts.sum()), v - len(counts)))
+    words = np.array([r["word"] for r in frequent], np.int64)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts and numbers of the tokens that aren't frequent, by leaf."""
+        sums = np.zeros((2, LEAVES), np.int64)
+        for batch in batches:
+            w, c = batch.column("word").to_numpy(), batch.column("total").to_numpy()
+            keep = (c > 0) & ~np.isin(w, words)
+            leaf = _shared_leaf(w[keep].astype(np.uint64))
+            sums[0] += np.bincount(leaf, c[keep], LEAVES).astype(np.int64)
+            sums[1] += np.bincount(leaf, minlength=LEAVES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FREQUENT, LEAVES)), *(pa.array(x[FREQUENT:]) for x in sums)], names=["leaf", "n", "v"])
+
+    held = totals.select("word", "total").mapInArrow(shared, "leaf long, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    rest = np.zeros((2, LEAVES - FREQUENT), np.int64)
+    for r in held:  # a row for each leaf
+        rest[:, r["leaf"] - FREQUENT] = r["n"], r["v"]
+    model = Model(words.astype(np.uint64), np.array([r["total"] for r in frequent], np.float64), (rest[0], rest[1]))
     if n:
         model = _train(made, model)
     held = spark.sparkContext.broadcast(model)
