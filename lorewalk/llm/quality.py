@@ -17,7 +17,7 @@ its own answers.  Both ways give the same numbers.
 A document's log perplexity is the mean over its events.  Each language has a lower
 and an upper bound: the median less or plus WIDTH times the distance to the
 quartiles over all its documents that pass the plain rules (LEAST_WIDTH at least),
-wider for short texts by SHORT over the root of the number of events.  What lies
+wider for short texts by SHORT over the root of the number of events, as code points.  What lies
 outside goes.
 
 Defined results: null text has no words and fails the plain rules; null
@@ -50,8 +50,8 @@ HELD = 1 << 20
 MOST_HELD = 4 << 20
 #: Bytes of text in a block when the model is joined.
 BLOCK = 8 << 20
-#: Half a band's width in distances from the median to the quartiles, at least so much, and what a text of one event has more, in log perplexity.
-WIDTH, LEAST_WIDTH, SHORT = 2.5, 0.04, 2.0
+#: A band's width in distances from the median to the quartiles; at least so much below and above the median; and what a text of one event has more there, in log perplexity.
+WIDTH, LEAST_WIDTH, SHORT = 2.5, (0.05, 0.06), (3.0, 1.5)
 QUANTILES = (0.25, 0.5, 0.75)
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -346,8 +346,8 @@ def bands(measured: DataFrame) -> DataFrame:
     """band_lang, low and high log perplexity; a row for each language."""
     passed = measured.where(~base_failed()).groupBy("lang").agg(F.percentile_approx("log_perplexity", F.array(*map(F.lit, QUANTILES)), F.lit(10000)).alias("q"))
     q = [F.col("q")[k] for k in range(3)]
-    wide = lambda x: F.greatest(WIDTH * x, F.lit(LEAST_WIDTH))
-    return passed.select(F.col("lang").alias("band_lang"), (q[1] - wide(q[1] - q[0])).alias("low"), (q[1] + wide(q[2] - q[1])).alias("high"))
+    below, above = (F.greatest(WIDTH * x, F.lit(least)) for x, least in zip((q[1] - q[0], q[2] - q[1]), LEAST_WIDTH, strict=True))
+    return passed.select(F.col("lang").alias("band_lang"), (q[1] - below).alias("low"), (q[1] + above).alias("high"))
 
 
 def judged(measured: DataFrame, limits: DataFrame, passes: str, prefix: str = "") -> DataFrame:
@@ -357,9 +357,9 @@ def judged(measured: DataFrame, limits: DataFrame, passes: str, prefix: str = ""
     """
     band, low, high = fresh([*measured.columns, passes], "band_lang", "low", "high")
     limits = limits.select(F.col("band_lang").alias(band), F.col("low").alias(low), F.col("high").alias(high))
-    slack = SHORT / F.sqrt(F.greatest(F.lit(1), F.col(f"{prefix}n_words") + F.col(f"{prefix}word_chars")))
+    below, above = (x / F.sqrt(F.greatest(F.lit(1), F.col(f"{prefix}n_words") + F.col(f"{prefix}word_chars"))) for x in SHORT)
     both = measured.join(limits, measured["lang"].eqNullSafe(limits[band]), "left")
-    inside = F.col(f"{prefix}log_perplexity").between(F.col(low) - slack, F.col(high) + slack)
+    inside = F.col(f"{prefix}log_perplexity").between(F.col(low) - below, F.col(high) + above)
     return both.withColumn(passes, ~base_failed(prefix) & F.coalesce(inside, F.lit(False))).drop(band, low, high)
 
 
