@@ -19,9 +19,10 @@ Steps:
    a home: the largest component met in their buckets, or in those of the members
    met there.  Members with one home are compared with those of other components
    in blocks of bounded bytes, by counting common shingles in a sorted index, and
-   only links leave a block.  The few pairs of a bucket with different homes are
-   verified one by one.  So no link between candidates is missed, and no bucket,
-   whatever its size, is written out as pairs.
+   only links leave a block.  Members of a bucket with different homes are verified
+   one by one if the bucket has FEW of them, else compared in blocks as well.  So no
+   link between candidates is missed, and no bucket, whatever its size, is written
+   out as pairs.
 4. Components come from repeated minimum-label steps over the verified links,
    with pointer jumping; tables are written between steps.
 
@@ -54,6 +55,8 @@ CIRCLE_BITS = 20
 BANDS, ROWS = 40, 6
 #: Shingles whose slices of the table are gathered at once.
 GATHERED = 1 << 13
+#: Members of a bucket that are paired with one another at most.
+FEW = 32
 #: Bytes of shingle sets on either side of a block.
 BLOCK = 4 << 20
 
@@ -166,13 +169,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long, linked boolean").where("linked").select("u", "v")
 
 
-def _links_at_home(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between documents with one home and different labels, one for each label that a document is linked with in a block.
+def _links_in_blocks(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between documents that meet (home, own, v, label) and have different labels, one for each label that a document is linked with in a block.
 
-    A home's own component is the larger part; the others are compared with all.
+    home says where documents meet, own which label is the larger part there; documents of others are compared with all.
     """
-    held = met.join(sets, met["v"] == sets["doc_id"]).select("home", "v", "label", "shingles")
-    held = held.withColumn("guest", F.col("label") != F.col("home"))
+    held = met.join(sets, met["v"] == sets["doc_id"]).select("home", "v", "label", "shingles", (F.col("label") != F.col("own")).alias("guest"))
     weight = F.length("shingles").cast("bigint")
     blocks_of = held.groupBy("home").agg(
         F.ceil(F.sum(weight) / BLOCK).cast("int").alias("all"), F.ceil(F.sum(F.when(F.col("guest"), weight)) / BLOCK).cast("int").alias("guests")
@@ -259,12 +261,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         homes = met.join(largest, key).groupBy("v").agg(F.max("largest").alias("home"))
         met = cut(met.drop("home").join(homes, "v"))
     met = met.withColumn("home", F.col("home.label"))
-    links = _links_at_home(met.select("v", "label", "home").distinct(), sets, percent)
-    apart = met.groupBy(*key).agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select(*key)
-    apart = met.join(apart, key)
+    links = _links_in_blocks(met.select("v", "label", "home", F.col("home").alias("own")).distinct(), sets, percent)
+    apart = met.groupBy(*key).agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count(F.lit(1)).alias("members"), F.mode("label", True).alias("own")).where("low < high")
+    apart = met.join(apart.select(*key, "members", "own"), key)
+    # Large ones meet in their bucket as at a home; two buckets of one hash would be compared together.
+    crowds = apart.where(F.col("members") > FEW).select(F.xxhash64(*key).alias("home"), "own", "v", "label").distinct()
+    apart = apart.where(F.col("members") <= FEW)
     other = apart.select(*key, F.col("v").alias("p"), F.col("label").alias("p_label"), F.col("home").alias("p_home"), F.col("n").alias("p_n"))
     strangers = apart.join(other, key).where((F.col("v") < F.col("p")) & (F.col("home") != F.col("p_home")) & (F.col("label") != F.col("p_label")) & near)
     strangers = cut(strangers.select(F.col("v").alias("u"), F.col("p").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"))
+    links = links.union(_links_in_blocks(crowds, sets, percent))
     more = cut(links.union(_verify(strangers, sets, percent)))
     # Links between documents are links between their labels.
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
