@@ -4,6 +4,8 @@ Nearness is the largest inner product.  For the trees a vector gets one more
 component, sqrt(M * M - |x| * |x|) with M the largest length, and a query a zero
 there; the largest inner product is then the smallest distance.
 
+Vectors of one length are searched among themselves.
+
 1. Rows with equal vectors form a class; of its ids the smallest ones that can
    ever be in a result are kept (one more than neighbours asked for), so a vector
    that many rows share is indexed once.  Its ids are cut down in salted groups.
@@ -13,14 +15,16 @@ there; the largest inner product is then the smallest distance.
 3. A query's leaves come from one queue over all trees, ordered by the sum of
    squared distances to the hyperplanes crossed, until the leaves hold `share` of
    all entries.  The share is the least one that reaches RECALL on queries and
-   neighbours inside the sample, found by brute force there.
-4. A leaf's queries and members meet in blocks of bounded size; only each query's
-   best of a block leave it.  Scores are inner products of the original vectors
-   in double precision.
+   neighbours inside the sample, found by brute force there; of forests of TREES
+   trees the one with the least share is taken, so no query visits more entries than
+   there are.
+4. It is counted how many queries ask for a leaf.  A leaf's queries and members meet
+   in blocks of bounded size, and a member goes only to the blocks of queries that
+   ask for its leaf; only each query's best of a block leave it.  Scores are inner
+   products of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components, or whose length is not the table's most frequent one, take no part, nor do
-rows without id; rows with one id count as one for a query's result; an empty
+components take no part, nor do rows without id; rows with one id count as one for a query's result; an empty
 table gives an empty result;
 the two named columns alone are read, so others may have any name.
 """
@@ -38,9 +42,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewalk.llm import blocks
 from lorewalk.llm.shared import cut
 
-TREES = 4
+TREES = (1, 2, 4)
 #: Classes that the trees are fitted to and the share is found on.
 SAMPLE, PROBES = 20_000, 200
 #: Leaves of a tree: 2 ** DEPTH, or more so that a leaf holds LEAF entries at most, as far as the sample goes (FEWEST of it in a leaf).
@@ -58,7 +63,7 @@ class Forest:
         rng = np.random.default_rng(seed)
         self.leaves: list[int] = []
         self.trees = []
-        for _ in range(TREES):
+        for _ in range(max(TREES)):
             number = count()
             self.trees.append(self._grow(sample, np.arange(len(sample)), depth, rng, number))
             self.leaves.append(next(number))
@@ -76,6 +81,12 @@ class Forest:
             return next(number)
         return way, middle, self._grow(x, rows[low], depth - 1, rng, number), self._grow(x, rows[~low], depth - 1, rng, number)
 
+    def part(self, trees: int) -> "Forest":
+        """The first trees alone."""
+        out = Forest.__new__(Forest)
+        out.trees, out.leaves = self.trees[:trees], self.leaves[:trees]
+        return out
+
     def leaf(self, tree: int, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out = np.empty(len(x), np.int32)
@@ -116,7 +127,7 @@ def _share(forest: Forest, sample: np.ndarray, k: int) -> float:
     n = len(sample)
     probes = np.random.default_rng(9).choice(n, min(PROBES, n), replace=False)
     sizes, leaf = [], []
-    for t in range(TREES):
+    for t in range(len(forest.trees)):
         leaf.append(forest.leaf(t, sample))
         sizes.append(np.bincount(leaf[t], minlength=forest.leaves[t]))
     needed = []
@@ -137,82 +148,111 @@ def _share(forest: Forest, sample: np.ndarray, k: int) -> float:
     return float(np.quantile(np.concatenate(needed), RECALL)) / n if needed else 1.0
 
 
+def _dealt(ids: np.ndarray, salt: int, into: np.ndarray) -> np.ndarray:
+    """A number below `into` for each id."""
+    return (blocks.mix(ids.astype(np.uint64), salt) % into.astype(np.uint64)).astype(np.int64)
+
+
 def nearest(table: DataFrame, *, k: int = 20, is_query: Column | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each query row its k nearest rows but for itself, nearest first, ties to smaller ids.
 
     is_query: condition on the columns vec_id and embedding; all rows without it.
     """
-    spark = table.sparkSession
     x = F.col("embedding")
     rows = table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("embedding"))
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(whole, F.lit(False)))
     square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    shapes = rows.groupBy(F.size(x).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("most")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not shapes:
-        return spark.createDataFrame([], result)
-    most = shapes[0]["most"]
-    keyed = rows.where(F.size(x) == shapes[0]["size"]).withColumns({"a": F.xxhash64(F.lit(1), x), "b": F.xxhash64(F.lit(2), x)})
+    shapes = rows.groupBy(F.size(x).alias("size")).agg(F.sqrt(F.max(square)).alias("most")).collect()  # a row for each length, which is one as a rule
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in shapes:
+        out = out.unionByName(_nearest(rows.where(F.size(x) == r["size"]), r["most"], k, is_query)) if len(shapes) > 1 else _nearest(rows, r["most"], k, is_query)
+    return out
+
+
+def _nearest(rows: DataFrame, most: float, k: int, is_query: Column | None) -> DataFrame:
+    """nearest among vectors of one length; most: the largest of them."""
+    spark, x = rows.sparkSession, F.col("embedding")
+    keyed = rows.withColumns({"a": F.xxhash64(F.lit(1), x), "b": F.xxhash64(F.lit(2), x)})
 
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(32))
     some = keyed.withColumn("nth", F.dense_rank().over(W.partitionBy("a", "b", salt).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     some = some.withColumn("nth", F.dense_rank().over(W.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     classes = cut(some.groupBy("a", "b").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding")).withColumn("v", F.col("ids")[0]))
     asking = cut((keyed.where(is_query) if is_query is not None else keyed).select("vec_id", "a", "b").distinct())
-    n, n_asking = classes.count(), asking.select("a", "b").distinct().count()
+    n = classes.count()
 
     sample = _matrix(classes.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks(), most)
     forest = Forest(sample, max(DEPTH, int(np.ceil(np.log2(max(1, n / LEAF))))))
-    share = _share(forest, sample, k)
+    share, trees = min((_share(forest.part(t), sample, k), t) for t in TREES)
+    forest = forest.part(trees)
     held = spark.sparkContext.broadcast(forest)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 m = _matrix(batch.column("embedding"), most)
-                for t in range(TREES):
+                for t in range(trees):
                     number, c = np.unique(held.value.leaf(t, m), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), t, np.int32)), pa.array(number), pa.array(c)], names=["tree", "leaf", "c"])
 
-    sizes = [np.zeros(x, np.int64) for x in forest.leaves]
-    for r in classes.select("embedding").mapInArrow(tally, "tree int, leaf int, c long").groupBy("tree", "leaf").agg(F.sum("c").alias("c")).collect():  # a row for each leaf
-        sizes[r["tree"]][r["leaf"]] = r["c"]
+    def by_leaf(counts: DataFrame) -> list[np.ndarray]:
+        out = [np.zeros(leaves, np.int64) for leaves in forest.leaves]
+        for r in counts.groupBy("tree", "leaf").agg(F.sum("c").alias("c")).collect():  # a row for each leaf
+            out[r["tree"]][r["leaf"]] = r["c"]
+        return out
+
+    sizes = by_leaf(classes.select("embedding").mapInArrow(tally, "tree int, leaf int, c long"))
     sizes_held = spark.sparkContext.broadcast(sizes)
-    parts = max(1, -(-n_asking // BLOCK))
-    enough = max(share * n, TREES * (k + 2))  # so many entries are k + 1 classes at least, if there are that many
-    schema = f"tree int, leaf int, block int, part int, asks boolean, v long, embedding {classes.schema['embedding'].dataType.simpleString()}"
+    enough = max(share * n, trees * (k + 2))  # so many entries are k + 1 classes at least, if there are that many
+    kind = classes.schema["embedding"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            visits = [list(held.value.search(np.append(q, 0.0), sizes_held.value, enough)) for q in _matrix(batch.column("embedding"))]
+            found = [pa.array([[v[j] for v in x] for x in visits], pa.list_(pa.int32())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("embedding"), *found], names=["v", "embedding", "trees", "leaves"])
+
+    asked = classes.join(asking.select("a", "b").distinct(), ["a", "b"], "left_semi").select("v", "embedding")
+    visits = cut(asked.mapInArrow(search, f"v long, embedding {kind}, trees array<int>, leaves array<int>"))
+    each = visits.select(F.explode(F.arrays_zip("trees", "leaves")).alias("x")).select(F.col("x.trees").alias("tree"), F.col("x.leaves").alias("leaf"), F.lit(1).alias("c"))
+    cuts_held = spark.sparkContext.broadcast([(-(-size // BLOCK), -(-asks // BLOCK)) for size, asks in zip(sizes, by_leaf(each), strict=True)])
+    schema = f"tree int, leaf int, block int, part int, asks boolean, v long, embedding {kind}"
 
     def rows_of(batch: pa.RecordBatch, take: np.ndarray, tree, leaf, block, part, asks: bool) -> pa.RecordBatch:
         chosen = batch.take(pa.array(take))
         fixed = [np.asarray(c, np.int32) for c in (tree, leaf, block, part)]
         return pa.RecordBatch.from_arrays([*map(pa.array, fixed), pa.array(np.full(len(take), asks)), chosen.column("v"), chosen.column("embedding")], names=["tree", "leaf", "block", "part", "asks", "v", "embedding"])
 
+    def several(batch: pa.RecordBatch, row: np.ndarray, tree: np.ndarray, leaf: np.ndarray, one: np.ndarray, times: np.ndarray, asks: bool) -> Iterator[pa.RecordBatch]:
+        """Rows (for a tree and leaf, with one number fixed) as often as there are numbers of the other kind."""
+        flat = np.repeat(np.arange(len(row)), times)
+        other = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)
+        for s in range(0, len(flat), 20_000):
+            z, o = flat[s : s + 20_000], other[s : s + 20_000]
+            block, part = (o, one[z]) if asks else (one[z], o)
+            yield rows_of(batch, row[z], tree[z], leaf[z], block, part, asks)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             m, ids = _matrix(batch.column("embedding"), most), batch.column("v").to_numpy()
-            for t in range(TREES):
-                number = held.value.leaf(t, m)
-                cuts = np.maximum(1, -(-sizes_held.value[t][number] // BLOCK))
-                for p in range(parts):
-                    yield rows_of(batch, np.arange(len(m)), np.full(len(m), t), number, (ids * 7919) % 1_000_003 % cuts, np.full(len(m), p), False)
+            for t in range(trees):
+                leaf = held.value.leaf(t, m)
+                in_blocks, parts = cuts_held.value[t]
+                yield from several(batch, np.arange(len(m)), np.full(len(m), t), leaf, _dealt(ids, t, in_blocks[leaf]), parts[leaf], False)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column("embedding"))
-            found = []
-            for row, q in enumerate(m):
-                for t, number in held.value.search(np.append(q, 0.0), sizes_held.value, enough):
-                    found += [(row, t, number, b) for b in range(max(1, -(-int(sizes_held.value[t][number]) // BLOCK)))]
-            take, tree, leaf, block = np.array(found, np.int64).T
-            for s in range(0, len(take), 50_000):
-                z = slice(s, s + 50_000)
-                part = (batch.column("v").to_numpy()[take[z]] * 104_729) % 1_000_033 % parts
-                yield rows_of(batch, take[z], tree[z], leaf[z], block[z], part, True)
+            tree, leaf = (batch.column(c).flatten().to_numpy() for c in ("trees", "leaves"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("trees").offsets.to_numpy()))
+            in_blocks, parts = (np.concatenate([c[j] for c in cuts_held.value])[np.concatenate([[0], np.cumsum(held.value.leaves)])[tree] + leaf] for j in (0, 1))
+            yield from several(batch, row, tree, leaf, _dealt(batch.column("v").to_numpy()[row], 99, parts), in_blocks, True)
 
     def rerank(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy()
@@ -228,8 +268,7 @@ def nearest(table: DataFrame, *, k: int = 20, is_query: Column | None = None, ve
                 out.append(pd.DataFrame({"q": np.repeat(q[s : s + 512], width), "c": c[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    asked = classes.join(asking.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    entries = classes.select("v", "embedding").mapInArrow(index, schema).unionByName(asked.select("v", "embedding").mapInArrow(probe, schema))
+    entries = classes.select("v", "embedding").mapInArrow(index, schema).unionByName(visits.mapInArrow(probe, schema))
     scored = entries.groupBy("tree", "leaf", "block", "part").applyInPandas(rerank, "q long, c long, score double")
     scored = scored.groupBy("q", "c").agg(F.max("score").alias("score"))
     first = scored.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("nth") <= k + 1)
