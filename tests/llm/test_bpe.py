@@ -48,12 +48,40 @@ def test_a_rank_whose_symbol_has_an_earlier_pair_joins_leftmost_first():
     merges = [["abc", "a"], ["b", "c"], ["a", "bc"]]
     import json
 
-    d = {"model": {"end_of_word_suffix": "$", "vocab": vocab, "merges": merges}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[^\s]+"}}]}}
+    steps = [bpe.SETTINGS["splitter"] | {"pattern": {"Regex": r"[^\s]+"}}, bpe.SETTINGS["bytes"]]
+    d = {"normalizer": bpe.SETTINGS["normalizer"], "decoder": None, "model": bpe.SETTINGS["model"] | {"end_of_word_suffix": "$", "vocab": vocab, "merges": merges}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": steps}}
     v = bpe.Vocabulary(json.dumps(d))
     flat, _ = v.merge(["abcabcd"])
     assert tokens and v.decode(flat) == "abca bc d$"
 
 
+def test_every_code_point(library):
+    """Alone between letters, and before and after others."""
+    with open(PATH, encoding="utf-8") as f:
+        coder = bpe.Coder(bpe.Vocabulary(f.read()))
+    points = [c for c in range(0xF0000) if not 0xD800 <= c <= 0xF8FF]
+    for s in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}b{chr(c)}1 {chr(c)}" for c in points[s : s + 50_000]]
+        want = [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids for ids, _ in coder.encode(texts)] == want
+
+
+def test_other_settings_are_refused():
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        d = json.load(f)
+    for change in ({"normalizer": {"type": "NFKC"}}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": d["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(d | change))
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y")], "doc_id long, text string, N_TOKENS string, Ids string")
+    out = bpe.encode_documents(docs, PATH)
+    assert out.columns == ["doc_id", "text", "ids", "n_tokens"] and out.first().n_tokens == 2
+
+
 def test_query(spark, library):
     import hashlib
 
