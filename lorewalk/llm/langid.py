@@ -7,8 +7,7 @@ filter goes through a softmax over the labels.  A document's probabilities are
 its windows' means, weighted by their bytes, so all of a text counts.
 
 The network is fitted on a bounded sample: up to PER_LABEL labelled rows of each
-label, those with the smallest hashes of id and text, and up to WINDOWS windows of
-each.  Prediction is one scan with the network broadcast (FILTERS, WIDTHS and the
+label, those with the smallest hashes of id and text, with all their windows.  Prediction is one scan with the network broadcast (FILTERS, WIDTHS and the
 number of labels fix its size).
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and
@@ -30,8 +29,8 @@ from lorewalk.llm import blocks
 from lorewalk.llm.shared import without
 
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-PER_LABEL, WINDOWS = 300, 4
-EPOCHS, STEP, RATE = 4, 64, 0.01
+PER_LABEL = 300
+EPOCHS, STEP, RATE = 3, 64, 0.01
 #: Windows whose responses are computed together; they stay in the CPU's cache.
 TOGETHER = 64
 _PAD = 0x20
@@ -163,16 +162,12 @@ def train(labelled: DataFrame, *, per_label: int = PER_LABEL) -> Network | None:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to WINDOWS windows of each row, evenly spread over its text."""
+    """All windows of each row."""
     for batch in batches:
         for part in blocks.pieces(batch, "text"):
             x, counts, _ = windows(*blocks.buffers(part.column("text")))
-            first = np.cumsum(counts) - counts
-            take = [np.unique(np.linspace(0, c - 1, min(WINDOWS, c)).astype(np.int64)) + f for c, f in zip(counts, first, strict=True)]
-            rows = np.repeat(np.arange(len(take)), [len(t) for t in take])
-            chosen = part.take(pa.array(rows))
-            pieces = pa.array([x[k].tobytes() for t in take for k in t], pa.binary())
-            yield pa.RecordBatch.from_arrays([chosen.column("lang"), chosen.column("place"), pieces], names=["lang", "place", "piece"])
+            chosen = part.take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+            yield pa.RecordBatch.from_arrays([chosen.column("lang"), chosen.column("place"), pa.array(list(map(bytes, x)), pa.binary())], names=["lang", "place", "piece"])
 
 
 def predict(docs: DataFrame, network: Network | None, *, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -663,6 +663,24 @@ def test_language_odd_rows(odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_network_equals_a_plain_one():
+    """Filters as sums over offsets, greatest responses not below zero, and a softmax, byte by byte."""
+    net = langid.Network(["a", "b", "c"], seed=7)
+    rng = np.random.default_rng(7)
+    net.bias = [rng.normal(size=b.shape).astype(np.float32) for b in net.bias]
+    x = rng.integers(0, 256, (3, langid.LENGTH)).astype(np.uint8)
+    got = net.probabilities(x)
+    for row, p in zip(x, got, strict=True):
+        pooled = []
+        for tables, bias in zip(net.tables, net.bias, strict=True):
+            for f in range(langid.FILTERS):
+                responses = [sum(float(tables[j][row[k + j], f]) for j in range(len(tables))) for k in range(langid.LENGTH - len(tables) + 1)]
+                pooled.append(max(max(responses) + float(bias[f]), 0))
+        z = [sum(v * float(net.top[i, c]) for i, v in enumerate(pooled)) + float(net.top_bias[c]) for c in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert p.tolist() == pytest.approx([v / sum(e) for v in e], rel=1e-3)
+
+
 def test_windows_hold_every_byte():
     texts = ["", "a", "b" * 256, "c" * 257, "ü" * 400]
     data, offsets = blocks.buffers(pa.array(texts))
