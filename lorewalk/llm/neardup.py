@@ -55,6 +55,8 @@ CIRCLE_BITS = 20
 BANDS, ROWS = 40, 6
 #: Shingles whose slices of the table are gathered at once.
 GATHERED = 1 << 13
+#: Members of a bucket above which it is dealt to so many tasks.
+CROWD, SALTS = 1024, 64
 #: Members of a bucket that are paired with one another at most.
 FEW = 32
 #: Bytes of shingle sets on either side of a block.
@@ -239,34 +241,40 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     named = signed.where("doc_id is not null and n_shingles > 0")
     # Documents with one id are one; equal sets are one class.
     classes = cut(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    key = ["band", "hash"]
     buckets = classes.select("v", "n", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    buckets = cut(buckets.join(shared, ["band", "hash"]).select("band", "hash", "v", "n"))
+    shared = cut(buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    # A crowded bucket's rows are dealt to SALTS tasks; what is joined to it is there in each of them.
+    crowded = checked(cut(shared.where(F.col("members") > CROWD).select(*key, F.lit(True).alias("crowded"))))
+    mark = lambda rows: rows.join(crowded, key, "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    everywhere = lambda rows: mark(rows).withColumn("salt", F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("crowded")
+    salted = [*key, "salt"]
+    dealt = mark(buckets).withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    buckets = cut(dealt.join(everywhere(shared.select(*key)), salted).select(*salted, "v", "n"))
     members = cut(buckets.select("v").distinct())
     sets = cut(_sets_of(docs, members.select(F.col("v").alias("doc_id")), size))
 
     near = percent * F.greatest("n", "p_n") <= 100 * F.least("n", "p_n")
-    key = ["band", "hash"]
     pivots = buckets.groupBy(*key).agg(F.min(F.struct("v", "n")).alias("p")).select(*key, F.col("p.v").alias("p"), F.col("p.n").alias("p_n"))
-    pairs = cut(buckets.join(pivots, key).where("v <> p").where(near).select(F.col("p").alias("u"), "v").distinct())
+    pairs = cut(buckets.join(everywhere(pivots), salted).where("v <> p").where(near).select(F.col("p").alias("u"), "v").distinct())
     links = _verify(pairs, sets, percent)
     labels = components(members.select("v", F.col("v").alias("label")), links)
 
     placed = buckets.join(labels, "v")
     mixed = placed.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*key)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    met = cut(placed.join(mixed, key).join(sizes, "label").select(*key, "v", "n", "label", F.struct("members", "label").alias("home")))
+    met = cut(placed.join(everywhere(mixed), salted).join(sizes, "label").select(*salted, "v", "n", "label", "members", F.struct("members", "label").alias("home")))
     for _ in range(2):
         largest = met.groupBy(*key).agg(F.max("home").alias("largest"))
-        homes = met.join(largest, key).groupBy("v").agg(F.max("largest").alias("home"))
+        homes = met.join(everywhere(largest), salted).groupBy("v").agg(F.max("largest").alias("home"))
         met = cut(met.drop("home").join(homes, "v"))
     met = met.withColumn("home", F.col("home.label"))
     links = _links_in_blocks(met.select("v", "label", "home", F.col("home").alias("own")).distinct(), sets, percent)
-    apart = met.groupBy(*key).agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count(F.lit(1)).alias("members"), F.mode("label", True).alias("own")).where("low < high")
-    apart = met.join(apart.select(*key, "members", "own"), key)
+    apart = met.groupBy(*key).agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count(F.lit(1)).alias("there"), F.max_by("label", F.struct("members", "label")).alias("own")).where("low < high")
+    apart = met.join(everywhere(apart.select(*key, "there", "own")), salted)
     # Large ones meet in their bucket as at a home; two buckets of one hash would be compared together.
-    crowds = apart.where(F.col("members") > FEW).select(F.xxhash64(*key).alias("home"), "own", "v", "label").distinct()
-    apart = apart.where(F.col("members") <= FEW)
+    crowds = apart.where(F.col("there") > FEW).select(F.xxhash64(*key).alias("home"), "own", "v", "label").distinct()
+    apart = apart.where(F.col("there") <= FEW)
     other = apart.select(*key, F.col("v").alias("p"), F.col("label").alias("p_label"), F.col("home").alias("p_home"), F.col("n").alias("p_n"))
     strangers = apart.join(other, key).where((F.col("v") < F.col("p")) & (F.col("home") != F.col("p_home")) & (F.col("label") != F.col("p_label")) & near)
     strangers = cut(strangers.select(F.col("v").alias("u"), F.col("p").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"))

@@ -132,6 +132,7 @@ def test_neardup_strangers_in_a_crowded_bucket(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for few in (1, 32):
         monkeypatch.setattr(neardup, "FEW", few)
+        monkeypatch.setattr(neardup, "CROWD", few)  # salted as well
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size=2).collect()} == want
 
 
