@@ -434,3 +434,10 @@ def cache_victims(spark, sf_dir):
 def health_states(spark, sf_dir):
     kind = F.col("event_type")
     return facts.table(spark, sf_dir, "events").select("event_id", X.health_status(kind != "error", kind == "click", kind != "view").alias("status"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS bad FROM events), l AS (SELECT user_id, arg_max(bad, event_id) AS bad, max(event_id) FILTER (NOT bad) AS good FROM e GROUP BY user_id)
+SELECT e.user_id, min(event_id) AS since FROM e JOIN l ON l.user_id = e.user_id WHERE l.bad AND e.bad AND (good IS NULL OR event_id > good) GROUP BY e.user_id""")
+def servers_unhealthy(spark, sf_dir):
+    e = facts.table(spark, sf_dir, "events").select(F.col("user_id").alias("server"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("healthy"))
+    return folds.unhealthy(e).select(F.col("server").alias("user_id"), "since")

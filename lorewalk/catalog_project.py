@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lorewalk import dims, project
 from lorewalk.catalog import METHODS, REFS, _values, query
-from lorewalk.operators import edits, search, symbols
+from lorewalk.functions import symbols as S
+from lorewalk.operators import batch, edits, search, symbols
 from lorewalk.plans import facts
-from lorewalk.sources import files, ignore
+from lorewalk.sources import files, ignore, rpc
+from lorewalk.streaming import folds
 
 
 def _nested(spark, sf_dir) -> DataFrame:
@@ -227,3 +229,64 @@ def capability_messages(spark, sf_dir):
 @query(f"WITH s(language, yes) AS (VALUES {_values((i, int(i in dims.NODE_TYPES)) for i, *_ in dims.LANGUAGES)}) SELECT language, yes = 1 AS supported FROM s")
 def syntax_support(spark, sf_dir):
     return spark.createDataFrame([(i, dims.syntax_supported(i)) for i, *_ in dims.LANGUAGES], "language string, supported boolean")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'src/a b.rs' WHEN o_orderkey % 3 = 1 THEN '/other/a b.rs' ELSE '/projects/a b.rs' END || ':' || (o_orderkey % 90) || ':' || (o_orderkey % 7) AS shown, CAST(greatest(o_orderkey % 90 - 1, 0) AS BIGINT) AS wire_line FROM orders""")
+def places_shown(spark, sf_dir):
+    """Paths below the project's root shown from there, lines as on the wire."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 3 == 0, "/project/src/a b.rs").when(k % 3 == 1, "/other/a b.rs").otherwise("/projects/a b.rs")
+    return facts.table(spark, sf_dir, "orders").select("o_orderkey", S.shown(S.relative(path, "/project/"), k % 90, k % 7).alias("shown"), S.zero_based(k % 90).alias("wire_line"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), v AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM e WHERE before IS NULL OR before <> event_type)
+SELECT '/u/' || user_id AS file, CAST(version AS BIGINT) AS version, '{"jsonrpc":"2.0","method":"textDocument/did' || CASE WHEN version = 1 THEN 'Open","params":{"textDocument":{"uri":"file:///u/' || user_id || '","version":1,"text":"' || event_type || '"}}}' ELSE 'Change","params":{"textDocument":{"uri":"file:///u/' || user_id || '","version":' || version || '},"contentChanges":[{"text":"' || event_type || '"}]}}' END AS value FROM v""")
+def document_sync(spark, sf_dir):
+    e = facts.table(spark, sf_dir, "events").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return rpc.document_sync(folds.versions(e).join(e, ["file", "seq"]))
+
+
+@query("""WITH l AS (SELECT source || '/' || doc_id || '.' || lang AS file, string_split(text, chr(10)) AS l FROM documents) SELECT file, md5(array_to_string(list_concat(['NEW'], l), chr(10))) AS content FROM l""")
+def edits_insert_before(spark, sf_dir):
+    f = facts.files(spark, sf_dir)
+    return f.select("file", F.md5(edits.inserted(F.col("content"), F.lit(1), F.lit("NEW"), after=False)).alias("content"))
+
+
+def _commands(spark, sf_dir) -> DataFrame:
+    """A command for each supplier: callers in a Python file, callers in a Rust one, a place that can't be read."""
+    k = F.col("s_suppkey")
+    place = F.when(k % 3 == 0, "a.py:1").when(k % 3 == 1, "b.rs:1").otherwise("nowhere")
+    return facts.table(spark, sf_dir, "supplier").select(k.cast("int").alias("index"), F.to_json(F.struct(F.lit("calls_incoming").alias("command"), place.alias("location"))).alias("value"))
+
+
+@query(f"""SELECT CAST(s_suppkey AS INTEGER) AS index, CASE s_suppkey % 3 WHEN 0 THEN '{dims.unsupported_message("python", "incoming_calls").replace(chr(39), chr(39) * 2)}' WHEN 1 THEN '' ELSE 'no position' END AS error FROM supplier""")
+def batch_gated(spark, sf_dir):
+    languages = spark.createDataFrame([("a.py", "python"), ("b.rs", "rust")], "file string, language string")
+    return batch.gated(batch.parsed(_commands(spark, sf_dir)), languages).select("index", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS index, s_suppkey % 3 = 1 AS success FROM supplier WHERE s_suppkey <= (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey % 3 <> 1)")
+def batch_until_failure(spark, sf_dir):
+    c = batch.parsed(_commands(spark, sf_dir))
+    languages = spark.createDataFrame([("a.py", "python"), ("b.rs", "rust")], "file string, language string")
+    none = spark.createDataFrame([], "index int, result string")
+    return batch.until_failure(batch.answered(batch.gated(c, languages), {"calls_incoming": none})).select("index", "success")
+
+
+@query("""SELECT p_brand AS file, count(*) AS n FROM part GROUP BY p_brand""")
+def ast_bare_type(spark, sf_dir):
+    """A type without brackets or capture, in SQL's table function."""
+    p = facts.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.collect_list(F.concat(F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("():\n    pass\n"))), "").alias("content"))
+    project.register(spark)
+    p.createOrReplaceTempView("code_by_brand")
+    return spark.sql("SELECT c.file, count(*) AS n FROM code_by_brand c, LATERAL ast_query(c.content, 'function_definition', 'python') q GROUP BY c.file")
+
+
+@query("WITH s(language, tier, init_s, request_s) AS (VALUES " + _values((lang, s[5], dims.TIERS[s[5]][0], dims.TIERS[s[5]][1]) for lang, s in dims.SERVERS.items()) + ") SELECT * FROM s")
+def server_tiers(spark, sf_dir):
+    return dims.servers(spark).select("language", "tier", "init_s", "request_s")
+
+
+@query("WITH f(feature, shown, command) AS (VALUES " + _values(dims.FEATURES) + ") SELECT * FROM f")
+def features_named(spark, sf_dir):
+    return dims.features(spark)

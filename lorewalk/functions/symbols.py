@@ -112,6 +112,11 @@ def position_valid(n_lines: Column, line_bytes: Column, line: Column, column: Co
     return line.between(1, n_lines) & column.between(1, line_bytes + 1)
 
 
+def shown(file: Column, line: Column, column: Column) -> Column:
+    """A place as file:line:column, what `location` reads."""
+    return F.concat_ws(":", file, line.cast("string"), column.cast("string"))
+
+
 def zero_based(n: Column) -> Column:
     return F.greatest(n - 1, F.lit(0))
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewalk.functions import symbols as S
 from lorewalk.functions import text as X
 from lorewalk.sources import wire
 
@@ -47,6 +48,16 @@ def write_lines(messages: DataFrame, folder: str, checkpoint: str | None = None)
     return out.outputMode("append").trigger(availableNow=True).start()
 
 
+def document_sync(versions: DataFrame) -> DataFrame:
+    """file, version and value: the message that tells a server of each version of a document (file, seq, version, content): didOpen for the first, didChange for the rest, none where the content stays."""
+    first = versions.groupBy("file", "version").agg(F.min_by("content", "seq").alias("content"))
+    uri = S.path_to_uri(F.col("file"))
+    opened = F.struct(F.struct(uri.alias("uri"), "version", F.col("content").alias("text")).alias("textDocument"))
+    changed = F.struct(F.struct(uri.alias("uri"), "version").alias("textDocument"), F.array(F.struct(F.col("content").alias("text"))).alias("contentChanges"))
+    message = lambda method, params: F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit(f"textDocument/{method}").alias("method"), params.alias("params")))
+    return first.select("file", "version", F.when(F.col("version") == 1, message("didOpen", opened)).otherwise(message("didChange", changed)).alias("value"))
+
+
 def captured(spark: SparkSession, folder: str) -> DataFrame:
     """file, nth and value of the framed messages in a folder's captures; bytes that aren't UTF-8 are replaced, an unfinished last message goes."""
 

@@ -116,6 +116,13 @@ def restarts(checks: DataFrame) -> DataFrame:
     return bad.withColumn("nth", nth).where(F.col("nth") % FAILURES == 0).select("server", "seq")
 
 
+def unhealthy(checks: DataFrame) -> DataFrame:
+    """server and since of the servers whose last check failed: the first of the failures in a row that go on."""
+    last = checks.groupBy("server").agg(F.max_by("healthy", "seq").alias("healthy"), F.max(F.when(F.col("healthy"), F.col("seq"))).alias("good"))
+    bad = last.where(~F.col("healthy")).select("server", "good").join(checks.where(~F.col("healthy")), "server")
+    return bad.where(F.col("good").isNull() | (F.col("seq") > F.col("good"))).groupBy("server").agg(F.min("seq").alias("since"))
+
+
 def failures_stream(checks: DataFrame) -> DataFrame:
     """restarts for a stream whose rows come in the order of seq."""
 
