@@ -7,7 +7,8 @@ filter goes through a softmax over the labels.  A document's probabilities are
 its windows' means, weighted by their bytes, so all of a text counts.
 
 The network is fitted on a bounded sample: up to PER_LABEL labelled rows of each
-label, those with the smallest hashes of id and text, with all their windows.  Prediction is one scan with the network broadcast (FILTERS, WIDTHS and the
+label, those with the smallest hashes of id and text among rows of LONGEST bytes at
+most, with all their windows.  Prediction is one scan with the network broadcast (FILTERS, WIDTHS and the
 number of labels fix its size).
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and
@@ -30,6 +31,8 @@ from lorewalk.llm.shared import without
 
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LABEL = 300
+#: Bytes of a row's text that the network is fitted on, at most; longer rows are predicted, not learned from.
+LONGEST = 1 << 20
 EPOCHS, STEP, RATE = 3, 64, 0.01
 #: Windows whose responses are computed together; they stay in the CPU's cache.
 TOGETHER = 64
@@ -141,17 +144,15 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, *, per_label: int = PER_LABEL) -> Network | None:
     """A network for the rows' lang, fitted to a sample of per_label rows a label; None if no row has a label and a text."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.octet_length("text") <= LONGEST))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each label
-    if not counts:
-        return None
     # Twice the rows wanted pass a label's bound on hashes, then the smallest hashes count.
-    bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1 << 32, ((1 << 32) * 2 * per_label) // r["n"] + 1))])
-    some = rows.withColumn("place", place).where(F.col("place") < bound[F.col("lang")]).select("lang", "place", "text")
-    labels = sorted(r["lang"] for r in counts)
+    bounds = rows.groupBy("lang").agg((F.lit(float((1 << 32) * 2 * per_label)) / F.count(F.lit(1)) + 1).alias("bound"))
+    some = rows.select("lang", "text", place.alias("place")).join(bounds, "lang").where("place < bound").select("lang", "place", "text")
     picked = some.mapInArrow(_sample, "lang string, place long, piece binary").toPandas().sort_values(["lang", "place"], kind="stable")
-    x, y = [], []
+    if picked.empty:
+        return None
+    labels, x, y = sorted(picked["lang"].unique()), [], []
     for label, group in picked.groupby("lang", sort=False):
         keep = group[group["place"].isin(group["place"].drop_duplicates().head(per_label))]
         x += [np.frombuffer(p, np.uint8) for p in keep["piece"]]
