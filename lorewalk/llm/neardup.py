@@ -56,7 +56,7 @@ BANDS, ROWS = 40, 6
 #: Shingles whose slices of the table are gathered at once.
 GATHERED = 1 << 13
 #: Members of a bucket above which it is dealt to so many tasks.
-CROWD, SALTS = 1024, 64
+CROWD, SALTS = 1 << 16, 64
 #: Members of a bucket that are paired with one another at most.
 FEW = 32
 #: Bytes of shingle sets on either side of a block.
@@ -245,11 +245,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     buckets = classes.select("v", "n", F.posexplode("bands").alias("band", "hash"))
     shared = cut(buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     # A crowded bucket's rows are dealt to SALTS tasks; what is joined to it is there in each of them.
-    crowded = checked(cut(shared.where(F.col("members") > CROWD).select(*key, F.lit(True).alias("crowded"))))
-    mark = lambda rows: rows.join(crowded, key, "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    everywhere = lambda rows: mark(rows).withColumn("salt", F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("crowded")
-    salted = [*key, "salt"]
-    dealt = mark(buckets).withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    crowded = cut(shared.where(F.col("members") > CROWD).select(*key, F.lit(True).alias("crowded")))
+    if crowded.isEmpty():
+        salted, dealt = key, buckets
+        everywhere = lambda rows: rows
+    else:
+        salted, crowded = [*key, "salt"], checked(crowded)
+        mark = lambda rows: rows.join(crowded, key, "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        everywhere = lambda rows: mark(rows).withColumn("salt", F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("crowded")
+        dealt = mark(buckets).withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
     buckets = cut(dealt.join(everywhere(shared.select(*key)), salted).select(*salted, "v", "n"))
     members = cut(buckets.select("v").distinct())
     sets = cut(_sets_of(docs, members.select(F.col("v").alias("doc_id")), size))

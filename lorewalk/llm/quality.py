@@ -34,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewalk.llm import blocks
-from lorewalk.llm.shared import cut, fresh, without
+from lorewalk.llm.shared import cut, fresh, release, without
 
 ORDER = 5
 #: Bytes of text worked on together.
@@ -276,13 +277,20 @@ def train(docs: DataFrame) -> DataFrame:
             shorter.groupBy("context").agg(F.first("gamma").alias("gamma")).select(F.lit(-n).alias("n"), F.col("context").alias("key"), F.ln("gamma").cast("float").alias("value"))
         )
         out = both if out is None else out.unionByName(both)
-    return cut(out.mapInArrow(_hashed, _MODEL))
+    whole = cut(out.mapInArrow(_hashed, _MODEL))
+    release(docs.sparkSession)
+    return whole
 
 
-def measure(docs: DataFrame, model: DataFrame, *, keep_text: bool = True, prefix: str = "", most_held: int = MOST_HELD) -> DataFrame:
+def held(model: DataFrame, most: int = MOST_HELD) -> Broadcast | None:
+    """The model, broadcast, if its table has `most` rows at most."""
+    return model.sparkSession.sparkContext.broadcast(Model.of(model.toArrow())) if model.count() <= most else None
+
+
+def measure(docs: DataFrame, model: DataFrame, *, keep_text: bool = True, prefix: str = "", sent: Broadcast | None = None) -> DataFrame:
     """Every row with the plain counts and log_perplexity (null without words), named with a prefix; input columns of those names, whatever the case, are replaced.
 
-    model: the table of train.  It is counted, and broadcast if it has most_held rows at most.
+    model: the table of train.  sent: the same, broadcast; without it the table is joined.
     """
     new = [prefix + c for c in (*COUNTS, "log_perplexity")]
     kept = [c for c in without(docs.columns, new) if keep_text or c != "text"]
@@ -298,13 +306,12 @@ def measure(docs: DataFrame, model: DataFrame, *, keep_text: bool = True, prefix
         mean = _per_text(-model.log_probability(some)[where], first) / np.maximum(number, 1)
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(mean, mask=number == 0)], names=schema.names)
 
-    if model.count() <= most_held:
-        held = docs.sparkSession.sparkContext.broadcast(Model.of(model.toArrow()))
+    if sent is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in blocks.pieces(batch, "text", TOGETHER):
-                    yield measured(part, held.value)
+                    yield measured(part, sent.value)
 
         return source.mapInArrow(run, schema)
 
@@ -366,16 +373,17 @@ def judged(measured: DataFrame, limits: DataFrame, passes: str, prefix: str = ""
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the counts, log_perplexity, base_failed and kept of every document."""
     model = train(docs)
-    measured = cut(measure(docs.select("doc_id", "lang", "text"), model, keep_text=False))
+    measured = cut(measure(docs.select("doc_id", "lang", "text"), model, keep_text=False, sent=held(model)))
     return judged(measured, bands(measured), "kept").withColumn("base_failed", base_failed())
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' columns. Texts are read and measured again rather than carried through a table."""
     model = train(docs)
-    limits = cut(bands(measure(docs.select("lang", "text"), model, keep_text=False)))
+    sent = held(model)
+    limits = cut(bands(measure(docs.select("lang", "text"), model, keep_text=False, sent=sent)))
     prefix = "q__"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
-    rows = judged(measure(docs, model, prefix=prefix), limits, f"{prefix}passes", prefix)
+    rows = judged(measure(docs, model, prefix=prefix, sent=sent), limits, f"{prefix}passes", prefix)
     return rows.where(f"{prefix}passes").select(*[f"`{c}`" for c in docs.columns])

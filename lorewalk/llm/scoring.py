@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewalk.llm import blocks
-from lorewalk.llm.shared import cut
+from lorewalk.llm.shared import cut, release
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -68,6 +68,15 @@ def is_held_out(doc_id: Column, of: int = 7, rest: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == rest
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """Numbers of words as bytes, all lowest bytes first: the higher ones are mostly zero and compress well, as frequent words have small numbers."""
+    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list = []
     held: list[np.ndarray] = []
@@ -84,7 +93,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "doc_id": ids,
             "held_out": out.tolist(),
             "n_tokens": n.tolist(),
-            "tokens": number.astype(np.uint32).tobytes(),
+            "tokens": _pack(number),
             "words": words.astype(np.uint64).tobytes(),
             "seen": seen.astype(np.int64).tobytes(),
         }
@@ -260,7 +269,7 @@ def _train(docs: DataFrame, model: Model) -> Model:
                     sizes = np.array(batch.column("n_tokens")[k].as_py(), np.int64)
                     out = np.array(batch.column("held_out")[k].as_py(), bool)
                     use = ~out & (np.arange(len(sizes)) % ROUNDS == turn)
-                    tokens = np.frombuffer(batch.column("tokens")[k].as_py(), np.uint32)[np.repeat(use, sizes)]
+                    tokens = _unpack(batch.column("tokens")[k].as_py())[np.repeat(use, sizes)]
                     if len(tokens):
                         trainer.learn(np.frombuffer(batch.column("words")[k].as_py(), np.uint64), tokens, sizes[use])
             start = (held.value.class_rows, held.value.member_rows)
@@ -329,8 +338,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     for r in held:  # a row for each leaf
         rest[:, r["leaf"] - FREQUENT] = r["n"], r["v"]
     model = Model(words.astype(np.uint64), np.array([r["total"] for r in frequent], np.float64), (rest[0], rest[1]))
+    release(spark)
     if n:
         model = _train(made, model)
+        release(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -338,7 +349,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         total = np.zeros(max(right.num_rows, 1), np.int64)
         total[right.column("nth").to_numpy()] = right.column("total").to_numpy()
         for r in left.select(["doc_id", "held_out", "n_tokens", "tokens", "words"]).to_pylist():
-            sizes, tokens = np.array(r["n_tokens"], np.int64), np.frombuffer(r["tokens"], np.uint32)
+            sizes, tokens = np.array(r["n_tokens"], np.int64), _unpack(r["tokens"])
             starts = np.cumsum(sizes) - sizes
             base = np.log10((total + 1.0) / (n + v + 1.0))
             better = log_probability(held.value, np.frombuffer(r["words"], np.uint64), tokens, sizes, total)

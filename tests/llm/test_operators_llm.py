@@ -248,7 +248,7 @@ def test_a_model_of_many_n_grams_broadcast_or_joined(spark):
     model = quality.train(docs)
     assert model.count() > 1_000_000
     want = [sum(c) / len(c) if c else None for c in kneser_ney(rows)]
-    one, two = ({r.doc_id: r for r in quality.measure(docs, model, most_held=most).collect()} for most in (quality.MOST_HELD, 0))
+    one, two = ({r.doc_id: r for r in quality.measure(docs, model, sent=quality.held(model, most)).collect()} for most in (quality.MOST_HELD, 0))
     assert one == two and len(one) == len(rows)
     assert [one[i].log_perplexity for i in range(len(rows))] == pytest.approx(want, rel=1e-4)
 
