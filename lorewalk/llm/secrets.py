@@ -41,8 +41,8 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----((?:[A-Za-z0-9+/=\s]|\\[nrt])*)-----END \1-----")
 _ESCAPED = re.compile(r"\\[nrt]")
-#: Chains of dotted parts; a token begins at a head inside one of the parts.
-_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+#: Chains of dotted parts, each tried from its beginning alone; a token begins at a head inside one of the parts.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
 _JWT_HEADS = ("eyJ", "ewo", "eyA", "ew0")
 _JWT_HEAD = re.compile("|".join(_JWT_HEADS))
 #: How keys begin in base64 and hex, and what stands between the lines of a wrapped one.
@@ -164,6 +164,14 @@ def unbase64(run: str | bytes) -> bytes | None:
         return None
 
 
+def _is_object(part: str) -> bool:
+    """Whether a part is a JSON object in base64."""
+    try:
+        return isinstance(json.loads(unbase64(part) or b""), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def is_jwt(token: str) -> bool:
     """Three parts; the first is a JSON object naming an algorithm, the second a JSON object, the third there unless the algorithm is none."""
     head, body, mark = token.split(".")[:3]
@@ -270,7 +278,7 @@ def find(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
         for chain in _DOTTED.finditer(text(k)):
             at, parts = chain.start(), chain[0].split(".")
             for i in range(len(parts) - 2):
-                for m in _JWT_HEAD.finditer(parts[i]):
+                for m in _JWT_HEAD.finditer(parts[i]) if _is_object(parts[i + 1]) else ():
                     token = ".".join((parts[i][m.start() :], parts[i + 1], parts[i + 2]))
                     if is_jwt(token):
                         found[k].append(("jwt", at + m.start(), at + m.start() + len(token)))

@@ -361,7 +361,7 @@ def test_long_dotted_runs_are_read_once():
     import time
 
     begun = time.time()
-    assert secrets.find(pa.array(["a" * 1_000_000, "eyJ" * 60_000 + "." + "eyJ" * 60_000, "x." * 300_000]))[0] == []
+    assert secrets.find(pa.array(["z" * 1_000_000, "eyJ" * 60_000 + "." + "eyJ" * 60_000, "x." * 300_000]))[0] == []
     assert time.time() - begun < 20
 
 
