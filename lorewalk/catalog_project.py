@@ -118,7 +118,7 @@ def _project(spark, sf_dir) -> project.Project:
     x = facts.table(spark, sf_dir, "lineitem")
     target = F.col("l_partkey").alias("target_id")
     impl = x.select(target, F.concat(F.lit("/i/"), F.col("l_suppkey").cast("string")).alias("file"), F.col("l_linenumber").cast("int").alias("line"), one(1).alias("column"), F.col("l_linenumber").cast("int").alias("ord"))
-    calls = x.where("l_suppkey < 2000").select(F.col("l_suppkey").alias("caller_id"), F.col("l_partkey").alias("callee_id"), F.lit("f").alias("site_file"), F.col("l_linenumber").cast("int").alias("site_line"), one(1).alias("site_column"), F.col("l_linenumber").cast("int").alias("ord"))
+    calls = x.select(F.col("l_suppkey").alias("caller_id"), F.col("l_partkey").alias("callee_id"), F.lit("f").alias("site_file"), F.col("l_linenumber").cast("int").alias("site_line"), one(1).alias("site_column"), F.col("l_linenumber").cast("int").alias("ord"))
     held = p.select(file.alias("file"), F.struct("p_partkey", F.concat(F.lit("fn "), "p_name")).alias("l"))
     content = held.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda l: l["col2"]), "\n").alias("content"))  # noqa: E741
     tables = {

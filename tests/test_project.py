@@ -122,3 +122,12 @@ def test_batch_and_status(project, spark):
     assert d.where("installed").count() == 1 and project.doctor(there, missing_only=True).count() == 35
     assert tuple(counted(d).first()) == (1, 35) and tuple(counted(project.doctor(there, missing_only=True)).first()) == (0, 35)
     assert json.loads(response(project.status()))["count"] == 1
+
+
+def test_calls_of_every_caller(spark, tmp_path):
+    from lorewalk import catalog_project
+
+    spark.createDataFrame([(42, "own", "Brand#11", 1), (2500, "far", "Brand#12", 1)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.createDataFrame([(1, 42, 2500, 3), (2, 42, 2500, 2), (3, 42, 42, 1), (4, 7, 42, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(catalog_project.project_calls(spark, str(tmp_path)), "name", "line", "site_line") == [("far", 2501, 2), ("own", 43, 1)]
