@@ -101,14 +101,38 @@ def body(content: Column, line: Column, end_line: Column) -> Column:
     return F.when(line <= F.size(parts), F.array_join(F.slice(parts, line, F.greatest(n, F.lit(0))), "\n"))
 
 
+def _held(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """key, at and best of every distinct point (key, at): the least best of the spans (key, first, last, best) that hold it; a null last has no end.
+
+    A span is a few blocks of places, whose sizes are powers of two, and a point lies in one
+    block of each size: both meet by an equi-join on blocks that keep their least best alone,
+    so neither crowded keys nor long spans make pairs.
+    """
+    p = points.select(*key, F.col("at").cast("bigint").alias("at")).where("at is not null").distinct()
+    reach = p.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    clipped = spans.where("first is not null").crossJoin(F.broadcast(reach)).select(
+        *key, (F.greatest(F.col("first").cast("bigint"), "lo") - F.col("lo")).alias("a"), (F.least(F.col("last").cast("bigint"), "hi") - F.col("lo") + 1).alias("b"), "best"
+    )
+    clipped = clipped.where("a < b")
+    sizes = clipped.agg(F.max(F.expr("length(bin(b - a)) - 1")).alias("top"))
+    low, high = "shiftright(a + shiftleft(1L, k) - 1, k)", "shiftright(b, k)"
+    ends = f"array(if({low} < {high} and {low} % 2 = 1, {low}, null), if({low} < {high} and {high} % 2 = 1, {high} - 1, null))"
+    blocks = F.expr(f"inline(flatten(transform(sequence(0, length(bin(b - a)) - 1), k -> transform(filter({ends}, n -> n is not null), n -> struct(k as size, n as block)))))")
+    nodes = clipped.groupBy(*key, "a", "b").agg(F.min("best").alias("best")).select(*key, "best", blocks).groupBy(*key, "size", "block").agg(F.min("best").alias("best"))
+    lie = F.expr("inline(transform(sequence(0, top), k -> struct(k as size, shiftright(at - lo, k) as block)))")
+    lying = p.crossJoin(F.broadcast(reach)).crossJoin(F.broadcast(sizes)).where("top is not null").select(*key, "at", lie)
+    return lying.join(nodes, [*key, "size", "block"]).groupBy(*key, "at").agg(F.min("best").alias("best"))
+
+
 def enclosing(positions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each position (pos_id, file, line) with the first symbol whose lines hold it, by an equi-join on file.
+    """Each position (pos_id, file, line) with the first symbol whose lines hold it.
 
     symbols has file, line, end_line (null: to the end), ord and name.
     """
-    s = symbols.select("file", F.col("line").alias("first_line"), "end_line", "ord", "name")
-    met = positions.join(s, "file").where((F.col("line") >= F.col("first_line")) & (F.col("end_line").isNull() | (F.col("line") <= F.col("end_line"))))
-    return met.groupBy("pos_id").agg(F.min_by("name", "ord").alias("name"))
+    best = F.struct(F.col("ord").isNull(), "ord", "name").alias("best")
+    held = _held(positions.select("file", F.col("line").alias("at")), symbols.select("file", F.col("line").alias("first"), F.col("end_line").alias("last"), best), ["file"])
+    met = positions.select("pos_id", "file", F.col("line").alias("at")).join(held, ["file", "at"])
+    return met.groupBy("pos_id").agg(F.min("best").alias("best")).select("pos_id", F.col("best.name").alias("name"))
 
 
 def innermost(positions: DataFrame, symbols: DataFrame) -> DataFrame:

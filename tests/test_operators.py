@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
@@ -74,6 +75,32 @@ def test_enclosing_and_innermost(spark):
     assert {r.pos_id: r.name for r in symbols.innermost(p, s).collect()} == {1: "m", 2: "n", 3: "B"}
 
 
+def _crowded(spark, n):
+    """A file of n symbols of one line each and as many positions: pairs of every two of them would never end."""
+    s = spark.range(n).selectExpr("'f' as file", "cast(id as int) as line", "cast(id as int) as end_line", "id as ord", "concat('s', id) as name", "id as sym_id", "cast(null as long) as parent_id", "0 as depth", "5 as column")
+    return spark.range(n).selectExpr("id as pos_id", "'f' as file", "cast(id as int) as line", "cast(if(id % 2 = 0, 6, 1) as int) as column"), s
+
+
+def _spans(spark):
+    """Positions and symbols of three levels, some without an end or a place, and who holds whom."""
+    rng = random.Random(5)
+    symbols_ = [(f"f{rng.randrange(2)}", a := rng.choice([None, *range(-3, 40)]), None if a is None or rng.random() < 0.2 else a + rng.randrange(-1, 30), k, f"s{k}", k, rng.randrange(20) if k >= 20 else None, min(k // 20, 2), rng.randrange(9)) for k in range(60)]
+    positions = [(k, f"f{rng.randrange(3)}", rng.choice([None, *range(-5, 60)]), rng.randrange(12)) for k in range(120)]
+    s = spark.createDataFrame(symbols_, "file string, line int, end_line int, ord int, name string, sym_id long, parent_id long, depth int, column int")
+    holds = lambda p, x: None not in (p[2], x[1]) and p[1] == x[0] and x[1] <= p[2] and (x[2] is None or p[2] <= x[2])
+    return spark.createDataFrame(positions, "pos_id int, file string, line int, column int"), s, positions, symbols_, holds
+
+
+def test_enclosing_in_crowded_files(spark):
+    p, s, positions, all_, holds = _spans(spark)
+    want = {q[0]: x[0][4] for q in positions if (x := [x for x in all_ if holds(q, x)])}
+    assert {r.pos_id: r.name for r in symbols.enclosing(p, s).collect()} == want
+    p, s = _crowded(spark, 200_000)
+    began = time.time()
+    assert symbols.enclosing(p, s).where("name = concat('s', pos_id)").count() == 200_000
+    assert time.time() - began < 60
+
+
 def test_search(spark):
     f = spark.createDataFrame([("a", "python", "é the cat\r\nThe end \n\nlast"), ("b", "rust", "bathe\n"), ("c", "rust", "")], "file string, language string, content string")
     assert [(r.file, r.line, r.text) for r in search.lines(f).orderBy("file", "line").collect()] == [("a", 1, "é the cat"), ("a", 2, "The end "), ("a", 3, ""), ("a", 4, "last"), ("b", 1, "bathe")]
