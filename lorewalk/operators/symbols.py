@@ -138,15 +138,29 @@ def enclosing(positions: DataFrame, symbols: DataFrame) -> DataFrame:
 def innermost(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each position with the symbol reached by taking, level by level, the first sibling that holds it, to any depth.
 
-    The symbols that hold a position are folded in the order of their levels.
+    A level looks only below the symbols that the level above has reached, and is written, so that plans stay short.
     """
-    s = symbols.select("file", F.col("line").alias("first_line"), "end_line", "ord", "name", "sym_id", "parent_id", "depth")
-    holds = (F.col("line") >= F.col("first_line")) & (F.col("end_line").isNull() | (F.col("line") <= F.col("end_line")))
-    met = positions.join(s, "file").where(holds).groupBy("pos_id").agg(F.sort_array(F.collect_list(F.struct("depth", "ord", "sym_id", "parent_id", "name"))).alias("all"))
-    start = F.struct(F.lit(-1).alias("depth"), F.lit(None).cast(symbols.schema["sym_id"].dataType).alias("sym_id"), F.lit(None).cast("string").alias("name"))
-    below = lambda at, x: (x["depth"] == at["depth"] + 1) & ((x["depth"] == 0) | (x["parent_id"] == at["sym_id"]))
-    reached = F.aggregate("all", start, lambda at, x: F.when(below(at, x), F.struct(x["depth"].alias("depth"), x["sym_id"].alias("sym_id"), x["name"].alias("name"))).otherwise(at))
-    return met.select("pos_id", reached["name"].alias("name")).where("name is not null")
+    spans = symbols.select("file", "parent_id", "depth", F.col("line").alias("first"), F.col("end_line").alias("last"), F.struct("ord", "sym_id", "name").alias("best"))
+    deepest = spans.agg(F.max("depth").alias("d")).first()["d"]
+    at = positions.select("file", F.col("line").alias("at"))
+    reached = None
+    for depth in range((-1 if deepest is None else deepest) + 1):
+        of = spans.where(F.col("depth") == depth)
+        if reached is None:
+            level = _held(at, of, ["file"])
+        else:
+            above = at.select("file", F.col("best.sym_id").alias("parent_id"), "at")
+            level = _held(above, of.join(above.select("file", "parent_id").distinct(), ["file", "parent_id"], "left_semi"), ["file", "parent_id"])
+        at = cut(level.select("file", "at", "best"))
+        if at.isEmpty():
+            break
+        level = at.select("file", "at", F.struct(F.lit(depth).alias("depth"), F.col("best.name").alias("name")).alias("best"))
+        reached = level if reached is None else reached.unionByName(level)
+    if reached is None:
+        return positions.where(F.lit(False)).select("pos_id", F.lit(None).cast("string").alias("name"))
+    last = reached.groupBy("file", "at").agg(F.max("best").alias("best"))
+    met = positions.select("pos_id", "file", F.col("line").alias("at")).join(last, ["file", "at"])
+    return met.groupBy("pos_id").agg(F.max("best").alias("best")).select("pos_id", F.col("best.name").alias("name")).where("name is not null")
 
 
 def at_positions(positions: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -101,6 +101,24 @@ def test_enclosing_in_crowded_files(spark):
     assert time.time() - began < 60
 
 
+def test_innermost_in_crowded_files(spark):
+    p, s, positions, all_, holds = _spans(spark)
+    want = {}
+    for q in positions:
+        at = None
+        for depth in range(3):
+            below = [x for x in all_ if holds(q, x) and x[7] == depth and (depth == 0 or x[6] == at)]
+            if not below:
+                break
+            at, want[q[0]] = below[0][5], below[0][4]
+    assert {r.pos_id: r.name for r in symbols.innermost(p, s).collect()} == want
+    assert symbols.innermost(p, s.limit(0)).count() == symbols.innermost(p.limit(0), s).count() == 0
+    p, s = _crowded(spark, 200_000)
+    began = time.time()
+    assert symbols.innermost(p, s).where("name = concat('s', pos_id)").count() == 200_000
+    assert time.time() - began < 60
+
+
 def test_search(spark):
     f = spark.createDataFrame([("a", "python", "é the cat\r\nThe end \n\nlast"), ("b", "rust", "bathe\n"), ("c", "rust", "")], "file string, language string, content string")
     assert [(r.file, r.line, r.text) for r in search.lines(f).orderBy("file", "line").collect()] == [("a", 1, "é the cat"), ("a", 2, "The end "), ("a", 3, ""), ("a", 4, "last"), ("b", 1, "bathe")]
