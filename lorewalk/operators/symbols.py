@@ -165,11 +165,15 @@ def innermost(positions: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def at_positions(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """pos_id and target_id: the symbol whose name stands at a position (pos_id, file, line, column), else the innermost whose lines hold it."""
-    s = symbols.select("file", F.col("line").alias("first_line"), F.col("column").alias("first_column"), "end_line", "name", "depth", "ord", "sym_id")
-    exact = (F.col("line") == F.col("first_line")) & F.col("column").between(F.col("first_column"), F.col("first_column") + F.length("name"))
-    inside = (F.col("line") >= F.col("first_line")) & (F.col("end_line").isNull() | (F.col("line") <= F.col("end_line")))
-    met = positions.join(s, "file").where(exact | inside)
-    return met.groupBy("pos_id").agg(F.min_by("sym_id", F.struct(~exact, -F.col("depth"), "ord")).alias("target_id"))
+    best = F.struct((-F.col("depth")).alias("up"), "ord", "sym_id").alias("best")
+    named = symbols.select("file", "line", F.col("column").alias("first"), (F.col("column") + F.length("name")).alias("last"), best).where("last is not null")
+    exact = _held(positions.select("file", "line", F.col("column").alias("at")), named, ["file", "line"]).select("file", "line", F.col("at").alias("column"), F.col("best").alias("exact"))
+    places = positions.select("file", "line", F.col("column").cast("bigint").alias("column")).distinct().join(exact, ["file", "line", "column"], "left")
+    lines = symbols.select("file", F.col("line").alias("first"), F.col("end_line").alias("last"), best)
+    inside = _held(places.where("exact is null").select("file", F.col("line").alias("at")), lines, ["file"]).select("file", F.col("at").alias("line"), F.col("best").alias("inside"))
+    met = positions.select("pos_id", "file", "line", F.col("column").cast("bigint").alias("column")).join(exact, ["file", "line", "column"], "left").join(inside, ["file", "line"], "left")
+    best = met.where("exact is not null or inside is not null").groupBy("pos_id").agg(F.min(F.struct(F.col("exact").isNull(), F.coalesce("exact", "inside").alias("best"))).alias("b"))
+    return best.select("pos_id", F.col("b.best.sym_id").alias("target_id"))
 
 
 def nested(symbols: DataFrame, deepest: int) -> DataFrame:

@@ -119,6 +119,21 @@ def test_innermost_in_crowded_files(spark):
     assert time.time() - began < 60
 
 
+def test_targets_in_crowded_files(spark):
+    p, s, positions, all_, holds = _spans(spark)
+    named = lambda q, x: (q[1], q[2]) == (x[0], x[1]) and x[8] <= q[3] <= x[8] + len(x[4])
+    want = {}
+    for q in positions:
+        found = sorted((not named(q, x), -x[7], x[3], x[5]) for x in all_ if x[1] is not None and (named(q, x) or holds(q, x)))
+        if found:
+            want[q[0]] = found[0][3]
+    assert {r.pos_id: r.target_id for r in symbols.at_positions(p, s).collect()} == want
+    p, s = _crowded(spark, 200_000)
+    began = time.time()
+    assert symbols.at_positions(p, s).where("target_id = pos_id").count() == 200_000
+    assert time.time() - began < 60
+
+
 def test_search(spark):
     f = spark.createDataFrame([("a", "python", "é the cat\r\nThe end \n\nlast"), ("b", "rust", "bathe\n"), ("c", "rust", "")], "file string, language string, content string")
     assert [(r.file, r.line, r.text) for r in search.lines(f).orderBy("file", "line").collect()] == [("a", 1, "é the cat"), ("a", 2, "The end "), ("a", 3, ""), ("a", 4, "last"), ("b", 1, "bathe")]
