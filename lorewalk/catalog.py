@@ -543,7 +543,7 @@ _PYTHON = ("class Brand:\n", "    def %s(self):\n        x = %d\n        return
 
 @query(f"WITH {_METHODS_OF} SELECT file, 1 AS start_line, 'c' AS first, name FROM m")
 def ast_captures(spark, sf_dir):
-    found = ast.search_files(_code(spark, sf_dir, *_PYTHON), "(class_definition (function_definition name: (identifier) @n)) @c", "python")
+    found = ast.search_files(_code(spark, sf_dir, *_PYTHON), "(class_definition (function_definition name: (identifier) @n)) @c", "python", texts=["n"])
     return found.select("file", "start_line", F.col("captures")[0]["name"].alias("first"), F.col("captures")[1]["text"].alias("name"))
 
 

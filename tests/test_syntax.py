@@ -271,3 +271,16 @@ def test_nodes_and_files_give_the_same_matches(spark):
     assert ast.search_ast(nodes.drop("field"), "(_ (return_statement) @r)").count() == 2 and ast.search_files(files, "identifier", "python", limit=1).count() == 1
     with pytest.raises(ValueError):
         ast.search_files(files, "x", "cobol")
+
+
+def test_a_long_text_that_many_matches_share_is_held_once(spark):
+    code = "class A:\n" + "".join(f"    def f{k}(self):\n        return {k}\n" for k in range(400))
+    query = "(class_definition (function_definition name: (identifier) @n)) @c"
+    frames = list(ast._frames(iter([("f", 1, 1, 0, 0, code * 100, [{"name": "c", "text": code * 100}])] * 9)))
+    assert sum(map(len, frames)) == 9 and max(map(len, frames)) <= 1 + ast.CHARACTERS // (200 * len(code))
+    files = spark.createDataFrame([("f", code)], "file string, content string")
+    every, some = (ast.search_files(files, query, "python", texts=texts).collect() for texts in (None, ["n"]))
+    assert len(every) == len(some) == 400
+    assert all(r.text == r.captures[0].text and r.text.startswith("class A") for r in every)
+    assert [r.captures[1].text for r in some] == [r.captures[1].text for r in every] == [f"f{k}" for k in range(400)]
+    assert {(r.text, r.captures[0].name, r.captures[0].text) for r in some} == {(None, "c", None)}
