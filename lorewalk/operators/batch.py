@@ -58,15 +58,15 @@ def gated(commands: DataFrame, languages: DataFrame) -> DataFrame:
     return named.withColumn("error", F.coalesce("error", "lacks")).select(*commands.columns)
 
 
-def answered(commands: DataFrame, answers: dict[str, DataFrame]) -> DataFrame:
+def answered(commands: DataFrame, answers: dict[str, DataFrame | None]) -> DataFrame:
     """index, command, success, result and error of every command: the answers' rows (index, result) as JSON arrays.
 
-    answers: by the commands that they answer.  A command without rows succeeds with an
-    empty result; one with an error, or that nothing answers, fails.
+    answers: by the commands that they answer (None: no rows).  A command without rows succeeds
+    with an empty result; one with an error, or that nothing answers, fails.
     """
-    both = None
+    both = commands.sparkSession.createDataFrame([], commands.select("index", F.lit("").alias("result")).schema)
     for a in answers.values():
-        both = a if both is None else both.unionByName(a)
+        both = both if a is None else both.unionByName(a)
     held = both.groupBy("index").agg(F.sort_array(F.collect_list("result")).alias("rows"))
     unknown = F.when(~F.col("command").isin(*answers), F.concat(F.lit("nothing answers "), "command"))
     out = commands.select("index", "command", F.coalesce("error", unknown).alias("error")).join(held, "index", "left")

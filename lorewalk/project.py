@@ -17,6 +17,7 @@ from lorewalk import dims
 from lorewalk.functions import symbols as S
 from lorewalk.functions import text as X
 from lorewalk.operators import ast, batch, diagnostics, edits, graph, search, symbols
+from lorewalk.plans.tables import cut
 from lorewalk.sources import files, syntax
 
 TABLES = {
@@ -247,15 +248,16 @@ class Project:
     # Batches and status
 
     def run_batch(self, lines: DataFrame) -> DataFrame:
-        """index, command, success, result (sorted JSON rows) and error of many commands at once: one join per kind of command, not one job per command."""
-        c = batch.gated(batch.parsed(lines), self["files"])
+        """index, command, success, result (sorted JSON rows) and error of many commands at once: one join per kind of command that is asked, not one job per command."""
+        c = cut(batch.gated(batch.parsed(lines), self["files"]))
         s, asked = self["symbols"], c.where("error is null")
+        kinds = {r.command for r in asked.select("command").distinct().collect()}
         row = lambda *cols: F.to_json(F.struct(*cols)).alias("result")
         of = lambda command: asked.where(F.col("command") == command)
         found = symbols.at_positions(asked.where("line is not null").select(F.col("index").alias("pos_id"), "file", "line", "column"), s)
-        at = asked.select("index", "command", "new_name").join(found, F.col("index") == F.col("pos_id"))
+        at = cut(asked.select("index", "command", "new_name").join(found, F.col("index") == F.col("pos_id")))
         place = [F.col("file"), F.col("line"), F.col("column")]
-        answers = {"find_symbol": of("find_symbol").select("index", "file").join(s.where("depth = 0"), "file").select("index", row("name", "kind", *place))}
+        answers: dict[str, DataFrame | None] = {"find_symbol": of("find_symbol").select("index", "file").join(s.where("depth = 0"), "file").select("index", row("name", "kind", *place))}
 
         def about(command: str, rows: DataFrame, *columns: Column | str, key: str = "target_id") -> None:
             answers[command] = at.where(F.col("command") == command).join(rows, F.col("target_id") == F.col(key)).select("index", row(*columns))
@@ -278,7 +280,8 @@ class Project:
         if "diagnostics" in self.facts:
             d = self["diagnostics"].select("file", "severity", "message", "line", "column").withColumn("severity", X.severity_name(F.col("severity")))
             answers["diagnostics"] = of("diagnostics").select("index", "file").join(d, "file").select("index", row("message", "severity", "line", "column"))
-        return batch.answered(c, answers)
+        # What no line asks for is known, but not looked for.
+        return batch.answered(c, {k: a if k in kinds else None for k, a in answers.items()})
 
     def status(self) -> DataFrame:
         """Files and bytes of each language."""

@@ -131,3 +131,11 @@ def test_calls_of_every_caller(spark, tmp_path):
     lines = spark.createDataFrame([(1, 42, 2500, 3), (2, 42, 2500, 2), (3, 42, 42, 1), (4, 7, 42, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(catalog_project.project_calls(spark, str(tmp_path)), "name", "line", "site_line") == [("far", 2501, 2), ("own", 43, 1)]
+
+
+def test_a_batch_looks_only_for_what_it_asks(project, spark):
+    never = project["call_edges"].withColumn("caller_id", F.raise_error(F.lit("not asked")).cast("long"))
+    lines = [(0, '{"command":"hover","location":"a.py:5"}'), (1, '{"command":"find_refs","location":"a.py:1"}'), (2, '{"command":"find_typedef","location":"a.py:1"}')]
+    got = {r["index"]: r for r in Project(spark, project.facts | {"call_edges": never}).run_batch(spark.createDataFrame(lines, "index int, value string")).collect()}
+    assert [(got[k].success, len(got[k].result or [])) for k in range(3)] == [(True, 1), (True, 0), (True, 1)]
+    assert Project(spark, project.facts).run_batch(spark.createDataFrame([], "index int, value string")).count() == 0
