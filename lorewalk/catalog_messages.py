@@ -223,9 +223,10 @@ def wire_folding_ranges(spark, sf_dir):
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(level AS INTEGER) AS level, CAST(100 - level AS INTEGER) AS start_line, CAST(100 + level AS INTEGER) AS end_line FROM (SELECT p_partkey, unnest(range(p_size)) AS level FROM part)""")
 def wire_selection_ranges(spark, sf_dir):
-    """Chains of as many ranges as a part's size, up to fifty."""
-    p = facts.table(spark, sf_dir, "part")
-    one = lambda k: F.format_string('{"range":{"start":{"line":%d,"character":0},"end":{"line":%d,"character":1}}', F.lit(100) - k, F.lit(100) + k)
+    """Chains of as many ranges as a part's size, up to fifty; parts are dealt out first, as each becomes many rows."""
+    p = facts.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    text = lambda k, c: F.concat(F.lit('{"line":'), k.cast("string"), F.lit(f',"character":{c}}}'))
+    one = lambda k: F.concat(F.lit('{"range":{"start":'), text(F.lit(100) - k, 0), F.lit(',"end":'), text(F.lit(100) + k, 1), F.lit("}"))
     levels = F.sequence(F.lit(0), F.col("p_size") - 1)
     chain = F.concat(F.array_join(F.transform(levels, one), ',"parent":'), F.repeat(F.lit("}"), F.col("p_size")))
     rows = p.where("p_size > 0").select(F.col("p_partkey").cast("string").alias("file"), F.concat(F.lit("["), chain, F.lit("]")).alias("result"))

@@ -4,8 +4,8 @@ Wire positions count from 0, in UTF-16 units; facts count lines and columns from
 except where a table keeps wire positions (edits, hints, folding and selection
 ranges).  Columns of facts are UTF-16 units too until `in_code_points` turns them into
 code points, which needs the lines' text.  A result
-may have several shapes; each is tried with its own schema.  Only the nested symbol
-tree needs Python, as a tree has no Spark type.
+may have several shapes; each is tried with its own schema.  Only what is nested to any depth
+needs Python, symbol trees and chains of selection ranges, as neither has a Spark type.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorewalk import dims
 from lorewalk.functions import symbols as S
@@ -190,17 +192,60 @@ def folding_ranges(results: DataFrame) -> DataFrame:
     return each.select("file", F.col("f.startLine").alias("start_line"), F.col("f.endLine").alias("end_line"), F.col("f.startCharacter").alias("start_char"), F.col("f.endCharacter").alias("end_char"), X.folding_kind(F.col("f.kind")).alias("kind"), F.col("f.collapsedText").alias("collapsed_text"))
 
 
+#: Levels of selection ranges in one batch.
+_AT_ONCE = 1 << 14
+_LEVELS = "ord int, level int, start_line int, start_char int, end_line int, end_char int"
+
+
+def _int(x: object) -> int | None:
+    return x if type(x) is int and -(1 << 31) <= x < 1 << 31 else None
+
+
+def _chain(x: object) -> Iterator[tuple[int | None, ...]]:
+    """A selection range and those round it, from the innermost: start line and character, end line and character."""
+    while True:
+        held = x if isinstance(x, dict) else {}
+        whole = held.get("range") if isinstance(held.get("range"), dict) else {}
+        ends = [whole.get(e) if isinstance(whole.get(e), dict) else {} for e in ("start", "end")]
+        yield tuple(_int(e.get(k)) for e in ends for k in ("line", "character"))
+        x = held.get("parent")
+        if x is None:
+            return
+
+
+def _chains(kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = json.JSONDecoder().raw_decode
+    names = ["file", *(x.split()[0] for x in _LEVELS.split(", "))]
+    types = [kind, *[pa.int32()] * 6]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for file, text in zip(batch.column("file").to_pylist(), batch.column("result").to_pylist(), strict=True):
+            try:
+                held = read(text.lstrip())[0] if text else None
+            except (ValueError, RecursionError):  # no JSON, or deeper than it is read
+                continue
+            for k, x in enumerate(held if isinstance(held, list) else []):
+                for level, ends in enumerate(_chain(x)):
+                    out.append((file, k, level, *ends))
+                    if len(out) >= _AT_ONCE:
+                        yield made(out)
+                        out = []
+        if out:
+            yield made(out)
+
+
 def selection_ranges(results: DataFrame) -> DataFrame:
-    """file, ord (of the position), level (from the innermost) and range, up to the outermost one."""
-    level = results.select("file", F.posexplode(F.from_json("result", "array<string>")).alias("ord", "x")).withColumn("level", F.lit(0))
-    chain = F.aggregate(
-        F.sequence(F.lit(0), F.regexp_count("x", F.lit(r'"parent"'))),
-        F.array(F.col("x")),
-        lambda held, _: F.when(F.get_json_object(F.element_at(held, -1), "$.parent").isNotNull(), F.concat(held, F.array(F.get_json_object(F.element_at(held, -1), "$.parent")))).otherwise(held),
-    )
-    each = level.select("file", "ord", F.posexplode(chain).alias("level", "y"))
-    at = F.from_json(F.get_json_object("y", "$.range"), _RANGE)
-    return each.select("file", "ord", "level", at["start"]["line"].alias("start_line"), at["start"]["character"].alias("start_char"), at["end"]["line"].alias("end_line"), at["end"]["character"].alias("end_char"))
+    """file, ord (of the position), level (from the innermost) and range, up to the outermost one.
+
+    An answer is read once, however many ranges lie round each other.
+    """
+    given = results.select("file", F.col("result").cast("string").alias("result"))
+    kind = to_arrow_type(given.schema["file"].dataType)
+    return given.mapInArrow(lambda batches: _chains(kind, batches), f"file {given.schema['file'].dataType.simpleString()}, {_LEVELS}")
 
 
 def code_lenses(results: DataFrame) -> DataFrame:

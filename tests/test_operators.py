@@ -286,6 +286,20 @@ def test_wire_shapes(spark):
     assert [(r.ord, r.level, r.end_line) for r in wire.selection_ranges(spark.createDataFrame([("f", json.dumps(nested))], "file string, result string")).orderBy("level").collect()] == [(0, 0, 3), (0, 1, 9)]
 
 
+def test_selection_ranges_are_read_once(spark):
+    place = {"start": {"line": 3, "character": 1}, "end": {"line": 4}}
+    odd = [{"range": place, "parent": None}, None, {"parent": {"range": 7, "parent": {"range": place}}}]
+    rows = [("odd", json.dumps(odd)), ("null", "null"), ("none", None), ("junk", "[{"), ("one", json.dumps(odd[0]))]
+    got = wire.selection_ranges(spark.createDataFrame(rows, "file string, result string")).orderBy("ord", "level").collect()
+    ends = [(r.ord, r.level, r.start_line, r.start_char, r.end_line, r.end_char) for r in got]
+    assert ends == [(0, 0, 3, 1, 4, None), (1, 0, *[None] * 4), (2, 0, *[None] * 4), (2, 1, *[None] * 4), (2, 2, 3, 1, 4, None)] and {r.file for r in got} == {"odd"}
+    one = '{"range":{"start":{"line":1,"character":0},"end":{"line":2,"character":0}}'
+    chain = "[" + ',"parent":'.join([one] * 400) + "}" * 400 + "]"
+    began = time.time()
+    assert wire.selection_ranges(spark.range(1500).select(F.col("id").cast("string").alias("file"), F.lit(chain).alias("result"))).where("start_line = 1").count() == 600_000
+    assert time.time() - began < 60
+
+
 def test_frames():
     a, b = b'{"id":1}', '{"x":"é"}'.encode()
     raw = b"".join(b"Content-Length: %d\r\nOther: x\r\n\r\n%s" % (len(x), x) for x in (a, b))
