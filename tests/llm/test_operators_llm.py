@@ -794,3 +794,19 @@ def test_passages_odd_rows(odd, empty):
 def test_jwt_needs_an_algorithm():
     plain = base64.urlsafe_b64encode(json.dumps({"typ": "x"}).encode()).decode().rstrip("=")
     assert secrets.is_jwt(JWT) and not secrets.is_jwt(".".join([plain, *JWT.split(".")[1:]]))
+
+
+def test_passages_under_crowded_keys_are_found(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    line = some(40)
+    rows = []
+    for k in range(40):  # the line is most of the passage that two documents share, so its keys are those of all eighty
+        passage = f"{some(5)} {line} {some(5)}"
+        rows += [(2 * k + i, f"{some(60)} {passage} {some(60)}") for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_doc_id) for r in got if r.doc_id > r.match_doc_id} >= {(2 * k + 1, 2 * k) for k in range(40)}
+    assert all(r.doc_id // 2 == r.match_doc_id // 2 and r.similarity == 1 for r in got)
+    for _ in range(20):
+        part = rng.integers(0, 30, passages.LEAST + int(rng.integers(0, 60))).astype(np.uint32)
+        assert passages._least_distinct(part) == min(len(set(part[k : k + passages.LEAST])) for k in range(len(part) - passages.LEAST + 1))
