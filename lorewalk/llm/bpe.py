@@ -219,10 +219,10 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes texts; remembers the pieces between white space that it has met."""
+    """Encodes texts; remembers the pieces between white space that it has met, what they decode to only if it decodes."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, decodes: bool = True):
+        self.v, self.decodes = vocabulary, decodes
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.lately: set[str] = set()
@@ -255,18 +255,16 @@ class Coder:
         for some in batched(distinct, TOGETHER):
             flat, sizes = self.v.merge(some)
             flat = flat.tolist()
-            numbers, texts = [self.numbers[i] for i in flat], [self.v.text[i] for i in flat]
+            numbers = [self.numbers[i] for i in flat]
             ends = np.cumsum(sizes).tolist()
             ids.update(zip(some, [" ".join(numbers[a:b]) for a, b in zip([0, *ends], ends)], strict=True))
-            tokens.update(zip(some, [" ".join(texts[a:b]) for a, b in zip([0, *ends], ends)], strict=True))
+            if self.decodes:
+                texts = [self.v.text[i] for i in flat]
+                tokens.update(zip(some, [" ".join(texts[a:b]) for a, b in zip([0, *ends], ends)], strict=True))
         for p, x in zip(pieces, words, strict=True):
-            if len(x) == 1:
-                self.ids[p], self.decoded[p] = ids[x[0]], tokens[x[0]]
-            elif x:
-                self.ids[p], self.decoded[p] = " ".join([ids[w] for w in x]), " ".join([tokens[w] for w in x])
-            else:
-                i = self.v.added[p[1:]]
-                self.ids[p], self.decoded[p] = str(i), self.v.decode([i])
+            self.ids[p] = " ".join([ids[w] for w in x]) if x else str(self.v.added[p[1:]])
+            if self.decodes:
+                self.decoded[p] = " ".join([tokens[w] for w in x]) if x else self.v.decode([self.v.added[p[1:]]])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, list[str]]]:
         """For each text the decimal ids joined by a space, and its pieces."""
@@ -276,7 +274,7 @@ class Coder:
         if len(self.ids) + len(new) > REMEMBERED:  # pieces met lately stay, so frequent ones do
             kept = (self.lately & self.ids.keys()) | (wanted & self.ids.keys())
             self.ids = {p: self.ids[p] for p in kept}
-            self.decoded = {p: self.decoded[p] for p in kept}
+            self.decoded = {p: self.decoded[p] for p in kept if p in self.decoded}
             self.lately = set()
         self.learn(list(new))
         self.lately = wanted if len(self.lately) > REMEMBERED // 3 else self.lately | wanted
@@ -307,7 +305,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", id
     schema = T.StructType([f for f in source.schema.fields if f.name in kept] + [T.StructField(n, t) for n, t in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(held.value))
+        coder = Coder(Vocabulary(held.value), decodes=decoded is not None)
         for batch in batches:
             for part in blocks.pieces(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
@@ -331,7 +329,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", id
                         arrays.append(pa.array(out[n], kinds[n]))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(blocks.thrifty(run), schema)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -245,7 +245,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> DataFrame:
     """The model of docs' columns lang and text, counted over all rows: n, hash and value, a row for each n-gram (n > 0) and each context (n < 0)."""
     source = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = source.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    counted = source.mapInArrow(blocks.thrifty(_count), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     low = lambda n: F.col("key").bitwiseAND(F.lit((1 << (8 * n)) - 1))
     language = lambda n: F.shiftrightunsigned("key", 8 * n)
     grams = {ORDER: cut(counted)}
@@ -313,7 +313,7 @@ def measure(docs: DataFrame, model: DataFrame, *, keep_text: bool = True, prefix
                 for part in blocks.pieces(batch, "text", TOGETHER):
                     yield measured(part, sent.value)
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(blocks.thrifty(run), schema)
 
     block, = fresh(source.columns, "block")
     n_blocks = source.agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK).alias("n")).first()["n"] or 1

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lorewalk.llm import bpe, queries
+from lorewalk.llm import blocks, bpe, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LETTERS = "aabcdeé ÉΣσςİıßﬁ́̈ \t\n\x1c\x1f\x85\xa0　'sS'tre0123٣½&&&!!..한글日本😀‍​ǅ"
@@ -94,3 +94,13 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_coder_that_only_encodes_remembers_no_texts_and_gives_memory_back():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    both, ids = bpe.Coder(v), bpe.Coder(v, decodes=False)
+    texts = ["The cat sat, e.g. there", "", "x" * 40, "naïve café 12.5"]
+    assert [x for x, _ in both.encode(texts)] == [x for x, _ in ids.encode(texts)]
+    assert both.decoded and not ids.decoded
+    assert list(blocks.thrifty(lambda it: (x + 1 for x in it))(iter([1, 2]))) == [2, 3]
