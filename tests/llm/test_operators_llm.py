@@ -810,3 +810,76 @@ def test_passages_under_crowded_keys_are_found(spark):
     for _ in range(20):
         part = rng.integers(0, 30, passages.LEAST + int(rng.integers(0, 60))).astype(np.uint32)
         assert passages._least_distinct(part) == min(len(set(part[k : k + passages.LEAST])) for k in range(len(part) - passages.LEAST + 1))
+
+
+def test_passages_of_edits_all_over_are_found(spark):
+    """Edits far enough from each other leave no gap at which a passage parts, and 0.8 only between some of them."""
+    rng = np.random.default_rng(37)
+    numbers = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    for _ in range(30):
+        one = numbers(200)
+        two = one.copy()
+        changed = np.flatnonzero(rng.random(200) < 0.12)
+        two[changed] = numbers(len(changed))
+        hits = one == two
+        holds = [(b - a + 1, a, b) for a in range(200) for b in range(a + passages.LEAST - 1, 200) if hits[a] and hits[b] and 10 * hits[a : b + 1].sum() >= 8 * (2 * (b - a + 1) - hits[a : b + 1].sum())]
+        every = passages.shared_passages(one, two, np.ones(200, bool))
+        got = np.zeros(200, bool)
+        for a, b, p, q, similarity in every:
+            assert (a, b) == (p, q) and similarity == pytest.approx(hits[a : b + 1].sum() / (2 * (b - a + 1) - hits[a : b + 1].sum())) and similarity >= 0.8
+            got[a : b + 1] = True
+        want = np.zeros(200, bool)
+        for _, a, b in holds:
+            want[a : b + 1] = True
+        assert (got[hits] == want[hits]).all()
+
+
+def test_passages_of_a_family_are_compared_once():
+    """A document's open places: compared with each other of its home, and passed over only if no passage can hold them."""
+    rng = np.random.default_rng(38)
+    base = rng.integers(0, 2**32, 150, dtype=np.uint32)
+    texts = []
+    for k in range(12):
+        text = base.copy()
+        changed = rng.random(150) < 0.02 * k
+        text[changed] = rng.integers(0, 2**32, int(changed.sum()), dtype=np.uint32)
+        texts.append(text)
+    table = {"home": [1] * 12, "doc_id": list(range(12)), "leads": [list(range(k)) for k in range(12)], "places": [[5, 60, 140]] * 11 + [None], "shingles": [x.tobytes() for x in texts]}
+    got = passages._compared(pa.table(table)).to_pylist()
+    candidate = np.zeros(150, bool)
+    candidate[[5, 60, 140]] = True
+    want = [(k, a, b + 5, j, p, q + 5, x) for k in range(11) for j in range(k) for a, b, p, q, x in passages.shared_passages(texts[k], texts[j], candidate) if candidate[a : b + 1].any()]
+    assert [tuple(r.values()) for r in got] == want and 0 < len({(r[0], r[3]) for r in want}) < 55
+
+
+def test_windows_of_a_document_meet_as_one_by_one():
+    rng = np.random.default_rng(39)
+    rows = []
+    for doc in (3, 4, 9):
+        for _ in range(80):
+            c = int(rng.integers(0, 300))
+            low, high = max(0, c - int(rng.integers(0, 90))), c + int(rng.integers(0, 90))
+            rows.append((doc, int(rng.integers(-(2**62), 2**62)), int(passages._packed(int(rng.integers(0, 5)), np.int64(low), np.int64(c), np.int64(high))), bool(rng.random() < 0.5)))
+    batches = pa.table(dict(zip(("doc_id", "key", "window", "open"), zip(*rows, strict=True), strict=True))).to_batches(max_chunksize=50)
+    got = sorted((d, o, a, b) for t in passages._joint(iter(batches)) for _, d, o, a, b in zip(*t.to_pydict().values(), strict=True))
+    want = []
+    for i, (d, _, x, o) in enumerate(rows):
+        for e, _, y, q in rows[i + 1 :]:
+            (f, l1, c1, h1), (g, l2, c2, h2) = passages._unpacked(np.int64(x)), passages._unpacked(np.int64(y))
+            if d == e and f != g and l2 <= c1 <= h2 and l1 <= c2 <= h1 and min(h1, h2) - max(l1, l2) >= passages.LEAST - 1:
+                want.append((d, o and q, max(l1, l2), min(h1, h2)))
+    assert got == sorted(want) and len(want) > 50
+
+
+def test_passages_under_keys_of_more_documents_than_are_listed(spark, monkeypatch):
+    """The exact way for crowded keys, by blocks."""
+    rng = np.random.default_rng(40)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    line, rows = some(40), []
+    for k in range(10):
+        passage = f"{some(5)} {line} {some(5)}"
+        rows += [(2 * k + i, f"{some(60)} {passage} {some(60)}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(passages, "FEW", 4)
+    got = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.match_doc_id) for r in got if r.doc_id > r.match_doc_id} == {(2 * k + 1, 2 * k) for k in range(10)}
