@@ -883,3 +883,17 @@ def test_passages_under_keys_of_more_documents_than_are_listed(spark, monkeypatc
     monkeypatch.setattr(passages, "FEW", 4)
     got = passages.repeated_passages(docs).collect()
     assert {(r.doc_id, r.match_doc_id) for r in got if r.doc_id > r.match_doc_id} == {(2 * k + 1, 2 * k) for k in range(10)}
+
+
+def test_windows_that_no_passage_can_hold_go(spark):
+    """A line that many documents have, alone or beside what one other has too: its windows stay only there."""
+    rng = np.random.default_rng(41)
+    numbers = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    line = numbers(20)
+    texts = [np.concatenate([numbers(60), line, numbers(60)]) for _ in range(20)]
+    more = np.concatenate([line, numbers(30)])
+    texts += [np.concatenate([numbers(50), more, numbers(70)]) for _ in range(2)]
+    sequences = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id long, shingles binary")
+    windows = [(k, 7, int(passages._packed(1, np.int64(0), np.int64(c), np.int64(len(x) - 1))), True) for k, x in enumerate(texts) for c in (10, 65, 90, 120)]
+    got = passages._with_hope(spark.createDataFrame(windows, "doc_id long, key long, window long, open boolean"), sequences).collect()
+    assert sorted((r.doc_id, r.window >> 29) for r in got) == [(20, 65), (20, 90), (21, 65), (21, 90)]
